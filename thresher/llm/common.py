@@ -42,6 +42,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def without_rows(docs: DataFrame, id_: Column, digest: Column, lost: DataFrame, repeated: DataFrame) -> DataFrame:
+    """docs without the rows whose (id, digest) is in lost; of those in repeated one row each. Both have the columns id
+    and digest."""
+
+    def named(x: DataFrame) -> DataFrame:
+        return x.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
+
+    on = id_.eqNullSafe(F.col("__id")) & (digest == F.col("__digest"))
+    left = docs.join(named(lost), on, "left_anti")
+    if repeated.isEmpty():
+        return left
+    once = left.join(named(repeated), on, "left_semi").withColumns({"__id": id_, "__digest": digest}).dropDuplicates(["__id", "__digest"]).drop("__id", "__digest")
+    return left.join(named(repeated), on, "left_anti").unionByName(once)
+
+
 def by_row(f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], rows: int = 512):
     """For mapInArrow: give f slices of at most so many rows, which bounds what Python holds at once."""
 

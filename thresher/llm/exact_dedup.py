@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpoint, read
+from .common import ascii_lower, checkpoint, read, without_rows
 
 #: Keys (16 bytes each) of surviving groups that are broadcast at most; beyond, the digests are made before the join.
 BROADCAST_KEYS = 1_000_000
@@ -51,16 +51,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the rows whose text another row repeats; all columns as they were."""
     found = exact_groups(docs, id_col, text_col, **options)
-    found = checkpoint(found.where(F.col("group_size") > 1))
-    id_, d = F.col(id_col), F.unhex(F.sha2(normalised(F.col(text_col)), 256))
-    lost = found.where(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("__id"), F.col("d").alias("__d"))
-    left = docs.join(lost, id_.eqNullSafe(F.col("__id")) & (d == F.col("__d")), "left_anti")
-    again = found.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("id", "d").count().where("count > 1").select(F.col("id").alias("__id"), F.col("d").alias("__d"))
-    if again.isEmpty():
-        return left
-    on = id_.eqNullSafe(F.col("__id")) & (d == F.col("__d"))
-    once = left.join(again, on, "left_semi").withColumn("__d", d).dropDuplicates([id_col, "__d"]).drop("__d")
-    return left.join(again, on, "left_anti").unionByName(once)
+    found = checkpoint(found.where(F.col("group_size") > 1).select("id", F.col("d").alias("digest"), F.col("id").eqNullSafe(F.col("keep_id")).alias("stays")).groupBy("id", "digest", "stays").agg(F.count("*").alias("n")))
+    digest = F.unhex(F.sha2(normalised(F.col(text_col)), 256))
+    return without_rows(docs, F.col(id_col), digest, found.where("NOT stays").select("id", "digest"), found.where("stays AND n > 1").select("id", "digest"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

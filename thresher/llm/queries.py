@@ -8,6 +8,7 @@ from .line_dedup import OP8_SQL, op8_line_dedup
 from .media import op9_media
 from .packing import op6_packing
 from .sentencepiece_bpe import op3_sentencepiece
+from .simhash import op7_simhash
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_packing": op6_packing,
+    "op7_simhash": op7_simhash,
     "op8_line_dedup": op8_line_dedup,
     "op9_media": op9_media,
 }
