@@ -9,6 +9,7 @@ from .media import op9_media
 from .packing import op6_packing
 from .sentencepiece_bpe import op3_sentencepiece
 from .simhash import op7_simhash
+from .toxicity import op5_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
     "op8_line_dedup": op8_line_dedup,
