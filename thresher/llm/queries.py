@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_format import OP2_SQL, op2_chat_format
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .html_extract import op10_html_extract
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .media import op9_media
 from .packing import op6_packing
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_line_dedup": op8_line_dedup,
     "op9_media": op9_media,
+    "op10_html_extract": op10_html_extract,
 }
 
 SQL = {
