@@ -35,7 +35,7 @@ class ByteTokens:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = True  # a text that holds the string of one can't forge it
         self.known: dict[str, bytes] = {}
 
     def _ids(self, some: list[str]) -> list[bytes]:
@@ -47,8 +47,8 @@ class ByteTokens:
         parts: list[list[str] | None] = []
         for t in batch:
             ps = t.split(" ")
-            if "" in ps[1:] or any(x in t for x in self.special) or any(p[0].isspace() for p in ps[1:]):
-                parts.append(None)  # runs of white space and special tokens: encoded whole
+            if "" in ps[1:] or any(p[0].isspace() for p in ps[1:]):
+                parts.append(None)  # runs of white space: encoded whole
             else:
                 parts.append([ps[0], *[" " + p for p in ps[1:]]])
         new = list(set().union(*filter(None, parts)).difference(self.known))
