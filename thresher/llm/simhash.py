@@ -70,11 +70,11 @@ class Scheme:
 
 
 def exact_scheme(nodes: int, shingle: int = 4, max_distance: int = 4) -> Scheme:
-    """64 bits with sure blocks. The more nodes, the more bits in a key: a bucket of unrelated nodes stays small. All
-    choices find the same links."""
-    for more in itertools.count(2):
+    """64 bits with sure blocks. The more nodes, the more bits in a key, so that unrelated nodes seldom meet in a bucket.
+    All choices find the same links."""
+    for more in itertools.count(3):
         blocks = max_distance + more
-        if nodes >> (64 * more // blocks) < 8 or blocks > 16:
+        if nodes << 4 <= 1 << (64 * more // blocks) or blocks > 16:
             return Scheme(shingle=shingle, max_distance=max_distance, blocks=blocks, together=more)
 
 
