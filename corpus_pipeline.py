@@ -10,6 +10,7 @@ from thresher.llm.exact_dedup import exact_dedup
 from thresher.llm.packing import pack, token_pieces
 from thresher.llm.simhash import simhash_dedup
 from thresher.llm.toxicity import learned_from, score_texts, train
+from thresher.ship import shipped
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))).drop("certified")
 
 
-STAGES = [("toxicity", toxicity), ("exact_copies", exact_copies), ("near_copies", near_copies), ("packing", packing)]
+STAGES = [(f.__name__, shipped(f)) for f in (toxicity, exact_copies, near_copies, packing)]
 
 #: SQL can express neither the model nor the fingerprints; tests/llm/test_pipeline.py has brute-force versions.
 ORACLE_SQL = None
