@@ -12,6 +12,7 @@ control piece stays text. Repeated rows get repeated results, an empty table an
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterable
 from functools import lru_cache
@@ -181,7 +182,11 @@ class PieceModel:
     def decode_joined(self, ids: list[int]) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids))
         first = next((i for i in ids if self.kinds[i] != 3), 0)
-        return _utf8(raw[1:] if self.kinds[first] == 1 and raw[:1] == b" " else raw)
+        cut = self.kinds[first] == 1 and raw[:1] == b" "
+        if any(self.kinds[i] == 3 for i in ids):  # a control piece, itself nothing, ends a run of byte pieces
+            runs = itertools.groupby(ids, lambda i: self.kinds[i] == 3)
+            return "".join(_utf8(b"".join(map(self.raw.__getitem__, run))) for control, run in runs if not control)[cut:]
+        return _utf8(raw[cut:])
 
     def lookup(self, words: list[list[str]]) -> None:
         """Remember the ids of these words."""
