@@ -31,7 +31,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Numbers for rows must not change between uses: they are made once and kept in the shared folder.
     keys = checkpoint(docs.select(*cols, *([digest] if digest_all else [])).withColumn("row", F.monotonically_increasing_id()))
     lengths = keys.groupBy("n").agg(F.count("*").alias("c")).where("c > 1").select("n")
-    pairs = checkpoint(keys.join(lengths, "n", "left_semi").groupBy("n", "p").agg(F.count("*").alias("c")).where("c > 1").select("n", "p"))
+    # Grouped by a struct, not by n and p: else the join's partitions by n would serve the groups too, and one length that
+    # very many rows have could not be split.
+    pairs = keys.join(lengths, "n", "left_semi").groupBy(F.struct("n", "p").alias("g")).agg(F.count("*").alias("c")).where("c > 1")
+    pairs = checkpoint(pairs.select("g.n", "g.p"))
     alone = keys.join(pairs, ["n", "p"], "left_anti").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("d") if digest_all else F.lit(None).cast("binary").alias("d"))
     if digest_all:
         left = keys.join(pairs, ["n", "p"], "left_semi")
