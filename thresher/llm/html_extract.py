@@ -45,8 +45,12 @@ HINT_OF = {w: k for k, ws in enumerate(HINTS.values()) for w in ws.split()}
 OTHER = len(KINDS)
 N_KINDS = OTHER + 1
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Of numbers: hidden, no text, log length in steps, share of links in steps, marks, copyright sign.
-N_FEATURES = N_KINDS + len(HINTS) + 1 + 1 + 6 + 4 + 2 + 1
+#: Hints of what is no content.
+BOILER = {k for k, h in enumerate(HINTS) if h not in ("content", "meta")}
+BOILER_TAGS = set("nav footer header aside form dialog address".split())
+#: Kind, hints, hidden, no text, log length in steps, share of links in steps, marks, copyright sign, kind of the parent,
+#: and what stands above: an article, a content hint, a boilerplate element, a boilerplate hint, each within or not.
+N_FEATURES = N_KINDS + len(HINTS) + 1 + 1 + 6 + 4 + 2 + 1 + N_KINDS + 5
 
 
 def hints(attrs: dict[str, str]) -> set[int]:
@@ -91,12 +95,16 @@ def forest(pages: list[Page]) -> Forest:
     rows = np.arange(n)
     x[rows, kind] = 1
     at = N_KINDS
+    above = np.zeros((n, 4), np.int8)
     for p, s in zip(pages, starts, strict=False):
-        for k, attrs in enumerate(p.attrs):
-            if attrs:
-                for hint in hints(attrs):
-                    x[s + k, at + hint] = 1
-                x[s + k, at + len(HINTS)] = hidden(attrs)
+        for k, (tag, attrs) in enumerate(zip(p.tag, p.attrs, strict=True)):
+            found = hints(attrs) if attrs else set()
+            for hint in found:
+                x[s + k, at + hint] = 1
+            x[s + k, at + len(HINTS)] = hidden(attrs)
+            here = (tag in ("article", "main"), 0 in found, tag in BOILER_TAGS, bool(found & BOILER) and 0 not in found)
+            up = above[s + p.parent[k]] if k else np.zeros(4, np.int8)
+            above[s + k] = up | here
     at += len(HINTS) + 1
     x[:, at] = total[:, 0] == 0
     at += 1
@@ -107,6 +115,11 @@ def forest(pages: list[Page]) -> Forest:
     x[:, at] = own[:, 2] > 0
     x[:, at + 1] = np.minimum(1, 20 * own[:, 2] / np.maximum(own[:, 0], 1))
     x[:, at + 2] = own[:, 3] > 0
+    at += 3
+    x[rows, at + kind[np.maximum(parent, 0)]] = parent >= 0
+    at += N_KINDS
+    x[:, at : at + 4] = above
+    x[:, at + 4] = (above[:, 0] > 0) & (above[:, 2] == 0) & (above[:, 3] == 0)
     return Forest(x, kind, parent, levels, starts)
 
 
