@@ -11,7 +11,7 @@ from compare import DATA
 from pyspark.sql import functions as F
 
 from thresher.llm.queries import QUERIES
-from thresher.llm.simhash import Scheme, bucket_links, exact_scheme, fingerprint, fingerprint_links, similar_scheme, simhash_dedup, simhash_groups
+from thresher.llm.simhash import Scheme, bucket_links, exact_scheme, fingerprint, fingerprint_links, hot_keys, shared_keys, similar_scheme, simhash_dedup, simhash_groups
 
 
 def brute_fingerprint(text: str, k: int = 4) -> int:
@@ -76,6 +76,17 @@ def test_links_of_clusters_are_whole_at_any_chunk_size(spark, chunk):
     assert root == [want[k] for k in range(len(fps))]
 
 
+def test_hot_keys_only_change_the_dealing(spark, monkeypatch):
+    rng = random.Random(8)
+    c = rng.getrandbits(64)
+    fps = sorted({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(900)} | {rng.getrandbits(64) for _ in range(300)})
+    nodes = spark.createDataFrame([(k, f.to_bytes(8, "big")) for k, f in enumerate(fps)], "node long, fp binary")
+    assert len(hot_keys(nodes, len(fps), Scheme())) > 0
+    some = {(r.node, r.key) for r in shared_keys(nodes, Scheme()).collect()}
+    monkeypatch.setattr("thresher.llm.simhash.hot_keys", lambda *_: np.empty(0, np.int64))
+    assert {(r.node, r.key) for r in shared_keys(nodes, Scheme()).collect()} == some
+
+
 def test_a_cluster_does_not_give_all_its_pairs():
     n = 2000
     fp = np.array([[1 << (k % 2) | (k // 2 % 2) << 3] for k in range(n)], np.uint64)

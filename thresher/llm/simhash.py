@@ -38,6 +38,8 @@ LANES = np.uint64(0x0101010101010101)
 SMALL = 16
 #: Nodes that one task compares at most with as many others.
 CHUNK = 16_384
+#: A key that more than one node in so many has is hot.
+HOT_SHARE = 256
 PIECE = 4096
 
 
@@ -78,16 +80,17 @@ def exact_scheme(nodes: int, shingle: int = 4, max_distance: int = 4) -> Scheme:
             return Scheme(shingle=shingle, max_distance=max_distance, blocks=blocks, together=more)
 
 
-def similar_scheme(nodes: int, similarity: float = 0.8, shingle: int = 5, words: int = 16) -> Scheme:
+def similar_scheme(nodes: int, similarity: float = 0.8, shingle: int = 5, words: int = 16, recall: float = 0.99) -> Scheme:
     """Wide fingerprints for a Jaccard similarity of the sets of shingles. Sets of that similarity have a cosine of at
     least 2j / (1 + j), so a bit differs with probability p = acos(cosine) / pi; the threshold is the expectation plus
-    one standard error. Keys have 24 bits or more, as nodes need, and there are so many that a pair at the threshold
-    shares one with a probability of 0.99."""
+    one standard error. Keys have 24 bits, and from a million nodes on four more than it takes to number the nodes, so
+    that unrelated ones seldom meet; there are so many keys that a pair at the threshold shares one with the given
+    probability."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = 64 * words
-    together = max(3, -(-(max(nodes, 1).bit_length() - 2) // 8))
-    tables = math.ceil(math.log(0.01) / math.log(1 - (1 - p) ** (8 * together)))
-    return Scheme(shingle=shingle, words=words, max_distance=round(n * p + math.sqrt(n * p * (1 - p))), blocks=n // 8, together=together, tables=tables, distinct=True)
+    together = max(6, -(-(max(nodes, 1).bit_length() + 4) // 4))
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** (4 * together)))
+    return Scheme(shingle=shingle, words=words, max_distance=round(n * p + math.sqrt(n * p * (1 - p))), blocks=n // 4, together=together, tables=tables, distinct=True)
 
 
 def _mix(h: np.ndarray, words: int) -> np.ndarray:
@@ -151,12 +154,12 @@ def _matrix(column: pa.Array, words: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), ">u8").reshape(-1, words).astype("<u8")
 
 
-def block_keys(nodes: DataFrame, s: Scheme) -> DataFrame:
+def block_keys(nodes: DataFrame, s: Scheme, hot: np.ndarray | None = None, only_hot: bool = False) -> DataFrame:
     """node, key for each table: a hash of the table's number and the content of its blocks, so a bucket may hold two
-    tables' nodes by accident, which the verified distance puts right."""
+    tables' nodes by accident, which the verified distance puts right. hot: sorted keys to leave out, or to give alone."""
     combos = s.keys
 
-    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
         bits = np.unpackbits(_matrix(b.column(1), s.words).view(np.uint8), axis=1, bitorder="little")
         parts = np.zeros((s.blocks, len(bits)), np.uint64)
         for k, (a, z) in enumerate(itertools.pairwise(s.edges)):
@@ -169,14 +172,46 @@ def block_keys(nodes: DataFrame, s: Scheme) -> DataFrame:
                 x = (x ^ parts[k]) * np.uint64(0xBF58476D1CE4E5B9)
                 x ^= x >> np.uint64(32)
             keys[:, t] = x
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), len(combos))), pa.array(keys.reshape(-1).view(np.int64))], names=["node", "key"])
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                yield from run(b.slice(at, 1024))
-
-    return nodes.select("node", "fp").mapInArrow(pieces, "node long, key long")
+        node, key = np.repeat(b.column(0).to_numpy(), len(combos)), keys.reshape(-1).view(np.int64)
+        if hot is not None:
+            found = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+            node, key = node[found == only_hot], key[found == only_hot]
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(key)], names=["node", "key"])
+
+    return nodes.select("node", "fp").mapInArrow(by_row(run, 1024), "node long, key long")
+
+
+def hot_keys(nodes: DataFrame, n: int, s: Scheme) -> np.ndarray:
+    """Keys that about one node in HOT_SHARE or more has, as a sample of bounded size shows; there are at most as many as
+    tables times HOT_SHARE. They only decide how rows are dealt, not what is compared."""
+    step = max(1, n // (16 * HOT_SHARE))
+    some = block_keys(nodes.where(F.pmod(F.xxhash64("node", F.lit(step)), F.lit(step)) == 0), s)
+    least = max(8, n // step // HOT_SHARE)
+    return np.array(sorted(r.key for r in some.groupBy("key").count().where(F.col("count") >= least).select("key").collect()), np.int64)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of key, those whose key the row before or after has too."""
+    node, key, met = np.empty(0, np.int64), np.empty(0, np.int64), False  # the last row so far, and if one before it met it
+    for b in batches:
+        node, key = np.r_[node, b.column(0).to_numpy()], np.r_[key, b.column(1).to_numpy()]
+        if not len(key):
+            continue
+        same = key[1:] == key[:-1]
+        found = np.r_[same, False] | np.r_[met, same]
+        yield pa.RecordBatch.from_arrays([pa.array(node[:-1][found[:-1]]), pa.array(key[:-1][found[:-1]])], names=["node", "key"])
+        node, key, met = node[-1:], key[-1:], bool(found[-1])
+    if met:
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(key)], names=["node", "key"])
+
+
+def shared_keys(nodes: DataFrame, s: Scheme) -> DataFrame:
+    """node, key for keys that two nodes or more have. Keys meet in one shuffle and are sorted, and a task looks no
+    further than at neighbours; rows of hot keys are known to be shared and stay where they are made."""
+    hot = hot_keys(nodes, nodes.count(), s)
+    cold = block_keys(nodes, s, hot if len(hot) else None)
+    found = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "node long, key long")
+    return found.union(block_keys(nodes, s, hot, only_hot=True)) if len(hot) else found
 
 
 def _distance(x: np.ndarray) -> np.ndarray:
@@ -220,9 +255,9 @@ def bucket_links(node: np.ndarray, key: np.ndarray, part: np.ndarray, fp: np.nda
 
 def fingerprint_links(nodes: DataFrame, s: Scheme, chunk: int = CHUNK) -> DataFrame:
     """a, b: links between nodes (node long, fp binary) that connect all that lie within the distance."""
-    keys = block_keys(nodes, s)
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keys.join(shared, "key").withColumn("c", F.ceil(F.col("n") / F.lit(chunk)).cast("long"))
+    keys = checkpoint(shared_keys(nodes, s))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"))
+    met = keys.join(sizes, "key").withColumn("c", F.ceil(F.col("n") / F.lit(chunk)).cast("long"))
     mine = F.pmod(F.xxhash64("node"), F.col("c"))
     # A bucket of c chunks has a task for each pair of chunks; a node goes to the c tasks of its own chunk.
     dealt = met.select("node", "key", F.when(F.col("c") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("c") - 1), lambda o: F.least(o, mine) * F.col("c") + F.greatest(o, mine))).alias("parts"))
@@ -260,7 +295,8 @@ def simhash_groups(docs: DataFrame, scheme: Scheme | None = None, id_col: str =
     wide fingerprints; else 4 of 64 bits may differ."""
     first = scheme or (similar_scheme(0, similarity) if similarity else Scheme())
     rows = checkpoint(fingerprints(docs, first, id_col, text_col))
-    nodes = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = rows.groupBy("fp").agg(F.min("id").alias("least")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    nodes = checkpoint(nodes.withColumn("node", F.monotonically_increasing_id()))  # many parts, as each node has many keys
     n = nodes.count()
     s = scheme or (similar_scheme(n, similarity) if similarity else exact_scheme(n))
     met = components(fingerprint_links(nodes, s, chunk), "a", "b")
