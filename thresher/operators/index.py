@@ -47,8 +47,16 @@ def document_count(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n"))
 
 
+def posting_blocks(terms: DataFrame, size: int = 65_536) -> DataFrame:
+    """term, block, docs: the ascending distinct documents of each term, cut by ranges of ``size`` ids, so that no list
+    is longer than that whatever share of the documents holds the term. Blocks of a term in order are its postings."""
+    block = F.floor(F.col("doc_id") / F.lit(size)).cast("long").alias("block")
+    return terms.groupBy("term", block).agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))
+
+
 def postings(terms: DataFrame) -> DataFrame:
-    """term, docs: the ascending distinct documents of each term."""
+    """term, docs: the ascending distinct documents of each term in one list. For terms whose lists fit a row; of a large
+    collection take posting_blocks, or the index's rows."""
     return terms.groupBy("term").agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))
 
 
@@ -83,6 +91,32 @@ def term_ids(toks: DataFrame) -> DataFrame:
     return dense_ids(first.select("term", "first.doc_id", "first.pos"), "term", ["doc_id", "pos"])
 
 
+class IdMap:
+    """Strings and their dense ids, as a table (s, id). Lookups are joins: an unknown string has no id and gets none."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    @classmethod
+    def build(cls, values: DataFrame, key: str, order: list[str | Column]) -> IdMap:
+        """Ids from 0 in the given order, in which the first row of a string counts."""
+        first = values.groupBy(F.col(key).alias("s")).agg(F.min(F.struct(*order)).alias("o"))
+        return cls(dense_ids(first, "s", ["o"]))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> IdMap:
+        return cls(spark.read.parquet(path))
+
+    def save(self, path: str) -> None:
+        self.table.write.mode("overwrite").parquet(path)
+
+    def with_ids(self, df: DataFrame, key: str) -> DataFrame:
+        return df.join(self.table.select(F.col("s").alias(key), "id"), key)
+
+    def with_strings(self, df: DataFrame, key: str = "id") -> DataFrame:
+        return df.join(self.table.select("s", F.col("id").alias(key)), key)
+
+
 def conjunction(terms: DataFrame, query: list[str] | str, strict: bool = False) -> DataFrame:
     """doc_id of documents that hold every query word. Words that no document has are skipped, or with strict empty the
     result. terms: (doc_id, term), distinct."""

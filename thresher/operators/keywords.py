@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from thresher.functions import text as tx
 
 from .index import document_count, with_idf
+from .lineage import checkpoint
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -41,15 +42,16 @@ def cooccurrences(docs: DataFrame, span: int = 5) -> DataFrame:
 
 
 def textrank(docs: DataFrame, k: int = 5, span: int = 5, iterations: int = 10, alpha: float = 0.85, round_to: int = 9) -> DataFrame:
-    """doc_id, rank, term, score: damped ranks on each document's co-occurrence graph, all documents at once. The edges
-    of a document stay in one partition through all iterations, as every key holds doc_id."""
-    edges = cooccurrences(docs, span).repartition("doc_id")
+    """doc_id, rank, term, score: damped ranks on each document's co-occurrence graph, all documents at once. Edges
+    are made once and kept; ranks are checkpointed every few rounds."""
+    edges = checkpoint(cooccurrences(docs, span))
     weight = edges.groupBy("doc_id", "a").agg(F.sum("n").alias("total"))
-    edges = edges.join(weight, ["doc_id", "a"]).select("doc_id", "a", "b", (F.col("n") / F.col("total")).alias("p"))
+    edges = checkpoint(edges.join(weight, ["doc_id", "a"]).select("doc_id", "a", "b", (F.col("n") / F.col("total")).alias("p")))
     ranks = weight.select("doc_id", F.col("a").alias("term"), F.lit(1.0).alias("score"))
-    for _ in range(iterations):
+    for k in range(1, iterations + 1):
         got = edges.join(ranks.withColumnRenamed("term", "a"), ["doc_id", "a"]).groupBy("doc_id", F.col("b").alias("term")).agg(F.sum(F.col("p") * F.col("score")).alias("got"))
         ranks = got.select("doc_id", "term", (F.lit(1 - alpha) + alpha * F.col("got")).alias("score"))
+        ranks = checkpoint(ranks) if k % 5 == 0 and k < iterations else ranks
     ranks = ranks.withColumn("score", F.round("score", round_to))
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("term"))
     return ranks.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("doc_id", "rank", "term", "score")

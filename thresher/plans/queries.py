@@ -111,6 +111,36 @@ def _(spark, sf):
     return index.merge_postings(*blocks).select("term", joined("docs"))
 
 
+@query("posting_blocks", f"WITH {S.TF} SELECT term, CAST(doc_id // 100 AS BIGINT) AS block, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS docs FROM tf GROUP BY ALL")
+def _(spark, sf):
+    return index.posting_blocks(index.doc_terms(documents(spark, sf), []), 100).select("term", "block", joined("docs"))
+
+
+@query("vocabulary", f"WITH {S.VOCAB} SELECT term FROM vocab")
+def _(spark, sf):
+    return tolerant.vocabulary(documents(spark, sf))
+
+
+@query("id_map", f"WITH {S.LINKS}, f AS (SELECT hook AS s, min({{'b': base_url, 'n': n}}) AS f FROM links GROUP BY hook), i AS (SELECT s, row_number() OVER (ORDER BY f) - 1 AS id FROM f) SELECT l.base_url, l.n::INTEGER AS n, i.id, i.s FROM links l JOIN i ON hook = s")
+def _(spark, sf):
+    found = crawl.links(pages(spark, sf)).select("base_url", "n", "hook")
+    ids = index.IdMap.build(found, "hook", ["base_url", "n"])
+    return ids.with_strings(ids.with_ids(found, "hook").select("base_url", "n", "id"))
+
+
+@query("scan_limit", "SELECT page_id, url FROM pages ORDER BY page_id LIMIT 1000")
+def _(spark, sf):
+    return pages(spark, sf).select("page_id", "url").orderBy("page_id").limit(1000)
+
+
+@query("ordered_merge", f"WITH {S.TF} SELECT doc_id, term, row_number() OVER (ORDER BY term, doc_id) - 1 AS id FROM tf WHERE term IN ('moron', 'scum', 'loser')")
+def _(spark, sf):
+    t = index.doc_terms(documents(spark, sf), [])
+    runs = [t.where(F.col("term") == w) for w in ("scum", "moron", "loser")]
+    merged = runs[0].union(runs[1]).union(runs[2])
+    return index.dense_ids(merged.withColumn("key", F.struct("term", "doc_id")), "key", ["term", "doc_id"]).select("key.doc_id", "key.term", "id")
+
+
 # --- Boolean, phrase and conjunctive retrieval --------------------------------------------------------------------
 
 
@@ -479,6 +509,12 @@ def _(spark, sf):
     return topics.topic_keywords(topics.fit_lda(docs, iterations=5), docs)
 
 
+@query("word_topics")
+def _(spark, sf):
+    docs = documents(spark, sf)
+    return topics.word_topics(topics.fit_lda(docs, iterations=5), tolerant.vocabulary(docs))
+
+
 @query("topic_lsi")
 def _(spark, sf):
     return topics.fit_lsi(documents(spark, sf), vocabulary=300)[2]
