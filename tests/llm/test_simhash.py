@@ -5,13 +5,14 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from compare import DATA
 from pyspark.sql import functions as F
 
 from thresher.llm.queries import QUERIES
-from thresher.llm.simhash import Scheme, bucket_links, exact_scheme, fingerprint, fingerprint_links, hot_keys, shared_keys, similar_scheme, simhash_dedup, simhash_groups
+from thresher.llm.simhash import Scheme, _sifted, bucket_links, exact_scheme, fingerprint, fingerprint_links, hot_keys, similar_scheme, simhash_dedup, simhash_groups
 
 
 def brute_fingerprint(text: str, k: int = 4) -> int:
@@ -82,9 +83,29 @@ def test_hot_keys_only_change_the_dealing(spark, monkeypatch):
     fps = sorted({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(900)} | {rng.getrandbits(64) for _ in range(300)})
     nodes = spark.createDataFrame([(k, f.to_bytes(8, "big")) for k, f in enumerate(fps)], "node long, fp binary")
     assert len(hot_keys(nodes, len(fps), Scheme())) > 0
-    some = {(r.node, r.key) for r in shared_keys(nodes, Scheme()).collect()}
-    monkeypatch.setattr("thresher.llm.simhash.hot_keys", lambda *_: np.empty(0, np.int64))
-    assert {(r.node, r.key) for r in shared_keys(nodes, Scheme()).collect()} == some
+    want = brute_components(list(enumerate(fps)))
+    for _ in range(2):
+        root = list(range(len(fps)))
+        links = [(r.a, r.b) for r in fingerprint_links(nodes, Scheme()).collect()]
+        for _ in range(40):
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        assert root == [want[k] for k in range(len(fps))]
+        monkeypatch.setattr("thresher.llm.simhash.hot_keys", lambda *_: np.empty(0, np.int64))
+
+
+def test_sifting_is_exact_however_batches_are_cut():
+    rng = random.Random(12)
+    rows = []
+    for key in range(60):
+        size = rng.choice([1, 2, 3, 15, 16, 17, 40])
+        words = [rng.choice([0, 1, 7, (1 << 62) - 1, 0xFFFF]) for _ in range(size)]
+        rows += [(len(rows) + k, key, w) for k, w in enumerate(words)]
+    by = {key: [r for r in rows if r[1] == key] for key in range(60)}
+    want = [r[0] for key in range(60) for r in by[key] if len(by[key]) > 16 or any(o is not r and (o[2] ^ r[2]).bit_count() <= 2 for o in by[key])]
+    for step in (1, 2, 5, 16, 17, 100, len(rows)):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + step]], pa.int64()) for i in range(3)], names=["node", "key", "word"]) for at in range(0, len(rows), step)]
+        assert [n for b in _sifted(iter(batches), 2) for n in b.column(0).to_pylist()] == want, step
 
 
 def test_a_cluster_does_not_give_all_its_pairs():

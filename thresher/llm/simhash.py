@@ -54,6 +54,7 @@ class Scheme:
     together: int = 2  # blocks in a key
     tables: int | None = None  # None: all combinations
     distinct: bool = False  # count a shingle once
+    first_distance: int | None = None  # bits of the first word that may differ; None: max_distance
 
     @cached_property
     def edges(self) -> list[int]:
@@ -83,14 +84,14 @@ def exact_scheme(nodes: int, shingle: int = 4, max_distance: int = 4) -> Scheme:
 def similar_scheme(nodes: int, similarity: float = 0.8, shingle: int = 5, words: int = 16, recall: float = 0.99) -> Scheme:
     """Wide fingerprints for a Jaccard similarity of the sets of shingles. Sets of that similarity have a cosine of at
     least 2j / (1 + j), so a bit differs with probability p = acos(cosine) / pi; the threshold is the expectation plus
-    one standard error. Keys have 24 bits, and from a million nodes on four more than it takes to number the nodes, so
+    one standard error; of the first word, by which buckets are sifted, the expectation plus 3.2. Keys have 24 bits, and from a million nodes on four more than it takes to number the nodes, so
     that unrelated ones seldom meet; there are so many keys that a pair at the threshold shares one with the given
     probability."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = 64 * words
     together = max(6, -(-(max(nodes, 1).bit_length() + 4) // 4))
     tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** (4 * together)))
-    return Scheme(shingle=shingle, words=words, max_distance=round(n * p + math.sqrt(n * p * (1 - p))), blocks=n // 4, together=together, tables=tables, distinct=True)
+    return Scheme(shingle=shingle, words=words, max_distance=round(n * p + math.sqrt(n * p * (1 - p))), blocks=n // 4, together=together, tables=tables, distinct=True, first_distance=math.ceil(64 * p + 3.2 * math.sqrt(64 * p * (1 - p))))
 
 
 def _mix(h: np.ndarray, words: int) -> np.ndarray:
@@ -155,7 +156,7 @@ def _matrix(column: pa.Array, words: int) -> np.ndarray:
 
 
 def block_keys(nodes: DataFrame, s: Scheme, hot: np.ndarray | None = None, only_hot: bool = False) -> DataFrame:
-    """node, key for each table: a hash of the table's number and the content of its blocks, so a bucket may hold two
+    """node, key, word (the first of the fingerprint) for each table. A key is a hash of the table's number and the content of its blocks, so a bucket may hold two
     tables' nodes by accident, which the verified distance puts right. hot: sorted keys to leave out, or to give alone."""
     combos = s.keys
 
@@ -172,13 +173,14 @@ def block_keys(nodes: DataFrame, s: Scheme, hot: np.ndarray | None = None, only_
                 x = (x ^ parts[k]) * np.uint64(0xBF58476D1CE4E5B9)
                 x ^= x >> np.uint64(32)
             keys[:, t] = x
-        node, key = np.repeat(b.column(0).to_numpy(), len(combos)), keys.reshape(-1).view(np.int64)
+        word = _matrix(b.column(1), s.words)[:, 0].view(np.int64)
+        cols = [np.repeat(b.column(0).to_numpy(), len(combos)), keys.reshape(-1).view(np.int64), np.repeat(word, len(combos))]
         if hot is not None:
-            found = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
-            node, key = node[found == only_hot], key[found == only_hot]
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(key)], names=["node", "key"])
+            found = hot[np.minimum(np.searchsorted(hot, cols[1]), len(hot) - 1)] == cols[1]
+            cols = [c[found == only_hot] for c in cols]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["node", "key", "word"])
 
-    return nodes.select("node", "fp").mapInArrow(by_row(run, 1024), "node long, key long")
+    return nodes.select("node", "fp").mapInArrow(by_row(run, 1024), "node long, key long, word long")
 
 
 def hot_keys(nodes: DataFrame, n: int, s: Scheme) -> np.ndarray:
@@ -190,28 +192,44 @@ def hot_keys(nodes: DataFrame, n: int, s: Scheme) -> np.ndarray:
     return np.array(sorted(r.key for r in some.groupBy("key").count().where(F.col("count") >= least).select("key").collect()), np.int64)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of key, those whose key the row before or after has too."""
-    node, key, met = np.empty(0, np.int64), np.empty(0, np.int64), False  # the last row so far, and if one before it met it
+def _sifted(batches: Iterator[pa.RecordBatch], near: int) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of key: of a bucket of up to SMALL rows those whose word lies within ``near`` bits of another's,
+    of a larger bucket all. A task holds no more of a bucket than tells it apart."""
+    big: int | None = None  # the key of a large bucket that the last batch ended in
+    tail = [np.empty(0, np.int64)] * 3
+
+    def out(cols: list[np.ndarray], last: bool) -> pa.RecordBatch:
+        nonlocal big, tail
+        node, key, word = cols
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        large = sizes > SMALL
+        large[0] |= big == int(key[0])
+        stop = len(key) if last or large[-1] else int(starts[-1])
+        big, tail = int(key[-1]) if large[-1] else None, [c[stop:] for c in cols]
+        of, keep = np.repeat(np.arange(len(starts)), sizes)[:stop], np.repeat(large, sizes)[:stop]
+        small, bits = ~keep, word[:stop].view(np.uint64)
+        for step in range(1, min(SMALL, int(sizes.max()))):
+            at = np.flatnonzero((of[step:] == of[:-step]) & small[step:])
+            at = at[np.bitwise_count(bits[at] ^ bits[at + step]) <= near]
+            keep[at] = keep[at + step] = True
+        return pa.RecordBatch.from_arrays([pa.array(node[:stop][keep]), pa.array(key[:stop][keep])], names=["node", "key"])
+
     for b in batches:
-        node, key = np.r_[node, b.column(0).to_numpy()], np.r_[key, b.column(1).to_numpy()]
-        if not len(key):
-            continue
-        same = key[1:] == key[:-1]
-        found = np.r_[same, False] | np.r_[met, same]
-        yield pa.RecordBatch.from_arrays([pa.array(node[:-1][found[:-1]]), pa.array(key[:-1][found[:-1]])], names=["node", "key"])
-        node, key, met = node[-1:], key[-1:], bool(found[-1])
-    if met:
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(key)], names=["node", "key"])
+        if b.num_rows:
+            yield out([np.r_[t, b.column(i).to_numpy()] for i, t in enumerate(tail)], False)
+    if len(tail[0]):
+        yield out(tail, True)
 
 
 def shared_keys(nodes: DataFrame, s: Scheme) -> DataFrame:
-    """node, key for keys that two nodes or more have. Keys meet in one shuffle and are sorted, and a task looks no
-    further than at neighbours; rows of hot keys are known to be shared and stay where they are made."""
+    """node, key for keys by which a node may have met one within the distance. Keys meet in one shuffle and are sorted;
+    rows of hot keys are known to be shared and stay where they are made."""
     hot = hot_keys(nodes, nodes.count(), s)
+    near = s.max_distance if s.first_distance is None else s.first_distance
     cold = block_keys(nodes, s, hot if len(hot) else None)
-    found = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "node long, key long")
-    return found.union(block_keys(nodes, s, hot, only_hot=True)) if len(hot) else found
+    found = cold.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _sifted(batches, near), "node long, key long")
+    return found.union(block_keys(nodes, s, hot, only_hot=True).select("node", "key")) if len(hot) else found
 
 
 def _distance(x: np.ndarray) -> np.ndarray:
