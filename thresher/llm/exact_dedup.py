@@ -30,7 +30,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     digest = F.unhex(F.sha2(norm, 256)).alias("d")
     # Numbers for rows must not change between uses: they are made once and kept in the shared folder.
     keys = checkpoint(docs.select(*cols, *([digest] if digest_all else [])).withColumn("row", F.monotonically_increasing_id()))
-    lengths = keys.groupBy("n").agg(F.count("*").alias("c")).where("c > 1").select("n")
+    # Kept apart from the join: adaptive execution splits a hot key only between two plain shuffles.
+    lengths = checkpoint(keys.groupBy("n").agg(F.count("*").alias("c")).where("c > 1").select("n"))
     # Grouped by a struct, not by n and p: else the join's partitions by n would serve the groups too, and one length that
     # very many rows have could not be split.
     pairs = keys.join(lengths, "n", "left_semi").groupBy(F.struct("n", "p").alias("g")).agg(F.count("*").alias("c")).where("c > 1")
