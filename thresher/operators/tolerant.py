@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from thresher.functions import text as tx
 
 from .boolean import Node, Not, Op, Phrase, Word, leaves, parse
+from .lineage import checkpoint
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -43,6 +44,7 @@ def correct(words: DataFrame, vocab: DataFrame, pick: str = "edit", nearest: int
     if pick not in ("edit", "jaccard"):
         raise ValueError(f"pick {pick!r}: edit or jaccard")
     words = words.select("word").distinct()
+    vocab = checkpoint(vocab.select("term"))  # used three times, and made from all texts
     unknown = words.join(vocab.select(F.col("term").alias("word")), "word", "left_anti")
     first = candidates(unknown, vocab, least, top)
     if pick == "jaccard":
@@ -77,5 +79,8 @@ def wildcard_terms(vocab: DataFrame, pattern: str) -> DataFrame:
 
 
 def biwords(docs: DataFrame) -> DataFrame:
-    """w1, w2, n_docs: neighbouring words and how many documents hold them."""
-    return docs.select(F.explode(F.array_distinct(tx.bigrams(tx.tokens("text")))).alias("b")).groupBy("b.w1", "b.w2").agg(F.count("*").alias("n_docs"))
+    """w1, w2, n_docs: neighbouring words and how many documents hold them. Pairs are made distinct as strings (a word
+    holds no space): Spark does that by hashing, where it compares structs each with each."""
+    pairs = F.transform(tx.bigrams(tx.tokens("text")), lambda b: F.concat(b["w1"], F.lit(" "), b["w2"]))
+    counts = docs.select(F.explode(F.array_distinct(pairs)).alias("b")).groupBy("b").agg(F.count("*").alias("n_docs"))
+    return counts.select(F.substring_index("b", " ", 1).alias("w1"), F.substring_index("b", " ", -1).alias("w2"), "n_docs")
