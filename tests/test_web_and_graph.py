@@ -63,6 +63,19 @@ def test_keywords_and_topics(spark, tmp_path):
     assert len(topics.fit_lsi(docs, k=2)[1]) == 2
 
 
+def test_lda_takes_all_documents_and_words(spark):
+    # Each word is in one document only, so a document that is left out leaves its words without weight of their own.
+    docs = spark.createDataFrame([(d, " ".join(f"w{d}x{j}" for j in range(10))) for d in range(600)], "doc_id long, text string").repartition(3)
+    model = topics.fit_lda(docs, k=2, iterations=2)
+    assert len(model.stages[0].vocabulary) == 6000
+    weight = model.stages[2].topicsMatrix().toArray().sum(1)
+    assert weight.min() > 0.5 * weight.max() > 0
+    got = topics.word_topics(model, docs.selectExpr("explode(split(text, ' ')) AS term")).collect()
+    assert len(got) == 6000 and all(sum(r.topics) == pytest.approx(1) for r in got)
+    assert topics.topic_keywords(model, docs, k=20).count() == 6000
+    assert topics.topic_words(model, 3).count() == 6
+
+
 FRAME = (["Ann", "B", "likes", "red", "tea", "today"], [(2, [("A0", 0, 1), ("A0-CRD", 5, 5), ("A1", 3, 4), ("ARGM-TMP", 5, 5)]), (4, [("A1", 3, 3)])])
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from uuid import uuid4
+
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import LDA
+from pyspark.ml.clustering import LocalLDAModel
 from pyspark.ml.feature import IDF, CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.linalg import Vectors as OldVectors
@@ -18,10 +23,40 @@ def words(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", tx.content_words("text").alias("words"))
 
 
-def fit_lda(docs: DataFrame, k: int = 5, vocabulary: int = 5000, iterations: int = 10, seed: int = 1) -> PipelineModel:
-    """Counts, idf and LDA as one model; vocabulary bounds the size of what is broadcast."""
-    stages = [CountVectorizer(inputCol="words", outputCol="counts", vocabSize=vocabulary), IDF(inputCol="counts", outputCol="tfidf"), LDA(k=k, maxIter=iterations, seed=seed, featuresCol="tfidf", optimizer="online")]
-    return Pipeline(stages=stages).fit(words(docs))
+@contextmanager
+def _tfidf(docs: DataFrame, vocabulary: int | None) -> Iterator[tuple[PipelineModel, DataFrame]]:
+    """Counts and idf as a model, and tfidf of all documents, kept while it is used. The vocabulary is all words of the
+    documents, or the most frequent."""
+    ws = words(docs).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        size = vocabulary or max(1, ws.select(F.explode("words").alias("term")).distinct().count())
+        model = Pipeline(stages=[CountVectorizer(inputCol="words", outputCol="counts", vocabSize=size), IDF(inputCol="counts", outputCol="tfidf")]).fit(ws)
+        vectors = model.transform(ws).select("tfidf").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            yield model, vectors
+        finally:
+            vectors.unpersist()
+    finally:
+        ws.unpersist()
+
+
+def _batch_lda(vectors: DataFrame, k: int, size: int, iterations: int, seed: int) -> LocalLDAModel:
+    """Variational Bayes in which every row takes part in every iteration: Spark's online optimizer with batches of all
+    rows, drawn without replacement, and steps of full length. LDA of pyspark.ml has no switch for the replacement, and
+    with it a batch of all rows misses a third of them."""
+    spark, lda = vectors.sparkSession, vectors.sparkSession._jvm.org.apache.spark
+    steps = lda.mllib.clustering.OnlineLDAOptimizer().setMiniBatchFraction(1.0).setSampleWithReplacement(False).setKappa(0.0).setOptimizeDocConcentration(True)
+    old = lda.mllib.clustering.LDA().setK(k).setMaxIterations(iterations).setSeed(seed).setOptimizer(steps)
+    of_rows = getattr(getattr(lda.ml.clustering, "LDA$"), "MODULE$").getOldDataset(vectors._jdf, "tfidf")
+    model = LocalLDAModel(lda.ml.clustering.LocalLDAModel(f"LDA_{uuid4().hex[:12]}", size, old.run(of_rows), spark._jsparkSession))
+    return model._set(k=k, maxIter=iterations, seed=seed, featuresCol="tfidf", optimizer="online", subsamplingRate=1.0)
+
+
+def fit_lda(docs: DataFrame, k: int = 5, vocabulary: int | None = None, iterations: int = 10, seed: int = 1) -> PipelineModel:
+    """Counts, idf and LDA as one model, of all documents and, unless vocabulary says how many, all words. The topics, k
+    numbers a word, are what is broadcast."""
+    with _tfidf(docs, vocabulary) as (vec, vectors):
+        return PipelineModel([*vec.stages, _batch_lda(vectors, k, vec.stages[1].idf.size, iterations, seed)])
 
 
 def document_topics(model: PipelineModel, docs: DataFrame) -> DataFrame:
@@ -31,10 +66,9 @@ def document_topics(model: PipelineModel, docs: DataFrame) -> DataFrame:
 
 def topic_words(model: PipelineModel, k: int = 10) -> DataFrame:
     """topic, rank, term, weight."""
-    vocab = F.array(*map(F.lit, model.stages[0].vocabulary))
-    t = model.stages[2].describeTopics(k)
-    both = t.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "x"))
-    return both.select("topic", (F.col("rank") + 1).alias("rank"), F.get(vocab, F.col("x.termIndices")).alias("term"), F.col("x.termWeights").alias("weight"))
+    vocab, t = model.stages[0].vocabulary, model.stages[2].describeTopics(k)
+    rows = [(r.topic, n, vocab[i], w) for r in t.collect() for n, (i, w) in enumerate(zip(r.termIndices, r.termWeights, strict=True), 1)]  # k for each topic
+    return t.sparkSession.createDataFrame(rows, "topic int, rank int, term string, weight double")
 
 
 def word_topics(model: PipelineModel, terms: DataFrame) -> DataFrame:
@@ -53,10 +87,10 @@ def topic_keywords(model: PipelineModel, docs: DataFrame, k: int = 5) -> DataFra
     from pyspark.sql import Window
 
     of_docs = document_topics(model, docs)
-    vocab = docs.sparkSession.createDataFrame([(w,) for w in model.stages[0].vocabulary], "term string")  # bounded by the model
-    of_words = word_topics(model, vocab).withColumnRenamed("topics", "word_topics")
     own = words(docs).select("doc_id", F.explode(F.array_distinct("words")).alias("term"))
-    rows = own.join(F.broadcast(of_words), "term").join(of_docs, "doc_id").select("doc_id", "term", cosine("word_topics", "topics").alias("similarity"))
+    # Words that the model doesn't know have no topics; all are zero.
+    of_words = word_topics(model, own.select("term").distinct()).where(F.exists("topics", lambda x: x > 0)).withColumnRenamed("topics", "word_topics")
+    rows = own.join(of_words, "term").join(of_docs, "doc_id").select("doc_id", "term", cosine("word_topics", "topics").alias("similarity"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("similarity"), F.desc("term"))
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("doc_id", "rank", "term", "similarity")
 
