@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,20 @@ def test_lda_takes_all_documents_and_words(spark):
     assert topics.topic_words(model, 3).count() == 6
 
 
+def test_lsi_decomposes_all_words(spark):
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(d, " ".join(f"w{x}" for x in (rng.pareto(0.7, 60) * 20).astype(int) % 4000)) for d in range(300)], "doc_id long, text string")
+    vec, values, terms = topics.fit_lsi(docs, k=3)
+    rows = vec.transform(topics.words(docs)).select("tfidf").collect()
+    m = np.array([r.tfidf.toArray() for r in rows])
+    _, want, v = np.linalg.svd(m, full_matrices=False)
+    assert m.shape[1] == docs.selectExpr("explode(split(text, ' '))").distinct().count() > 1000
+    assert values == pytest.approx(want[:3].tolist())
+    got = {r.term: r.weights for r in terms.collect()}
+    w = np.array([got[t] for t in vec.stages[0].vocabulary])
+    assert np.allclose(np.abs((w * v[:3].T).sum(0)), 1)
+
+
 FRAME = (["Ann", "B", "likes", "red", "tea", "today"], [(2, [("A0", 0, 1), ("A0-CRD", 5, 5), ("A1", 3, 4), ("ARGM-TMP", 5, 5)]), (4, [("A1", 3, 3)])])
 
 

@@ -11,8 +11,8 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import LocalLDAModel
 from pyspark.ml.feature import IDF, CountVectorizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,14 +95,14 @@ def topic_keywords(model: PipelineModel, docs: DataFrame, k: int = 5) -> DataFra
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("doc_id", "rank", "term", "similarity")
 
 
-def fit_lsi(docs: DataFrame, k: int = 5, vocabulary: int = 1000) -> tuple[PipelineModel, list[float], DataFrame]:
+def fit_lsi(docs: DataFrame, k: int = 5, vocabulary: int | None = None) -> tuple[PipelineModel, list[float], DataFrame]:
     """Truncated SVD of the tf-idf matrix: the vectoriser, the singular values, and term, weights (one per dimension).
-    The matrix stays distributed; its Gramian, vocabulary squared, is all that meets in one place."""
-    vec = Pipeline(stages=[CountVectorizer(inputCol="words", outputCol="counts", vocabSize=vocabulary), IDF(inputCol="counts", outputCol="tfidf")]).fit(words(docs))
-    rows = vec.transform(words(docs)).select("tfidf").rdd.map(lambda r: OldVectors.fromML(r.tfidf))
-    svd = RowMatrix(rows).computeSVD(k)
-    v = svd.V.toArray()
-    terms = [(t, [float(x) for x in v[i]]) for i, t in enumerate(vec.stages[0].vocabulary)]
+    The matrix stays distributed and its Gramian is never made (beyond 100 words): Lanczos steps multiply by the sparse
+    rows, and vectors as long as the vocabulary, 2k at most, are all that meets in one place."""
+    with _tfidf(docs, vocabulary) as (vec, vectors):
+        svd = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "tfidf")).computeSVD(k)
+        v = svd.V.toArray().tolist()
+    terms = list(zip(vec.stages[0].vocabulary, v, strict=True))
     return vec, [float(x) for x in svd.s.toArray()], docs.sparkSession.createDataFrame(terms, "term string, weights array<double>")
 
 

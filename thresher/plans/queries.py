@@ -517,7 +517,7 @@ def _(spark, sf):
 
 @query("topic_lsi")
 def _(spark, sf):
-    return topics.fit_lsi(documents(spark, sf), vocabulary=300)[2]
+    return topics.fit_lsi(documents(spark, sf))[2]
 
 
 # --- codecs -------------------------------------------------------------------------------------------------------
