@@ -145,6 +145,27 @@ def test_dedup_by_similarity_catches_copies_and_leaves_others(spark):
     assert {r.doc_id for r in got.collect()} == want
 
 
+def test_similarity_is_exact_for_short_texts_and_below_it(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, want, near = [], set(), set()
+    for g in range(0, 2000, 10):
+        base = [word() for _ in range(8 + g // 10 % 3)]
+        rows += [(g, " ".join(base)), (g + 1, " ".join([*base, word()]))]  # 4 of 5 shingles, 5 of 6, 6 of 7
+        want.add(g)
+        near.add(g + 1)
+    hub = [word() for _ in range(400)]
+    for k in range(60):  # of one text, 60 parts that are 0.76 like it, and 0.5 to 0.98 like one another
+        rows.append((5000 + k, " ".join(hub[k : k + 308])))
+    rows.append((4999, " ".join(hub)))
+    for g in range(6000, 6400, 2):  # 300 words, of which the last 36 differ: a similarity of 0.78
+        base = [word() for _ in range(300)]
+        rows += [(g, " ".join(base)), (g + 1, " ".join(base[:264] + [word() for _ in range(36)]))]
+        want |= {g, g + 1}
+    got = {r.doc_id for r in simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), similarity=0.8).collect()}
+    assert got - near == want | {4999, 5000} and len(got & near) <= 4
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (2, ""), (None, "a b c d e f"), (None, "a b c d e f"), (3, " \n"), (4, "q w e r t y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"fp": F.lit(1), "node": F.lit("n")})

@@ -19,10 +19,11 @@ from __future__ import annotations
 import itertools
 import math
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from hashlib import md5
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,33 @@ def similar_scheme(nodes: int, similarity: float = 0.8, shingle: int = 5, words:
     return Scheme(shingle=shingle, words=words, max_distance=round(n * p + math.sqrt(n * p * (1 - p))), blocks=n // 4, together=together, tables=tables, distinct=True, first_distance=math.ceil(64 * p + 3.2 * math.sqrt(64 * p * (1 - p))))
 
 
+def worst_difference(similarity: float) -> float:
+    """The largest probability that a bit differs between two sets of at least that similarity. In large sets it is
+    acos(2j / (1 + j)) / pi; in small ones ties, which become 0, can make it larger, so those are counted out."""
+    worst = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for c in range(1, 65):  # members in both; a and b in one only
+        for more in range(1, int(c / similarity - c + 1e-9) + 1):
+            for a in range(more // 2 + 1):
+                b, p = more - a, 0.0
+                for t in range(c + 1):
+                    over = [sum(math.comb(m, x) for x in range(m + 1) if 2 * (t + x) > c + m) / 2**m for m in (a, b)]
+                    p += math.comb(c, t) / 2**c * (over[0] * (1 - over[1]) + over[1] * (1 - over[0]))
+                worst = max(worst, p)
+    return worst
+
+
+def candidate_scheme(nodes: int, similarity: float = 0.8, shingle: int = 5, words: int = 16, recall: float = 0.99) -> Scheme:
+    """Wide fingerprints that propose pairs of a Jaccard similarity; each pair is verified by its shingles. A pair of the
+    similarity or more, however short, shares a key, is in the distance and has its first word in the distance with a
+    chance of at least recall: each of the three may miss a third of what is left. Keys have two bits more than it takes to number the nodes, 20 at least."""
+    p, miss = worst_difference(similarity), (1 - recall) / 3
+    far = NormalDist().inv_cdf(1 - miss)
+    within = lambda n: math.ceil(n * p + far * math.sqrt(n * p * (1 - p)) + 0.5)
+    together = max(5, -(-(max(nodes, 1).bit_length() + 2) // 4))
+    tables = math.ceil(math.log(miss) / math.log(1 - (1 - p) ** (4 * together)))
+    return Scheme(shingle=shingle, words=words, max_distance=within(64 * words), blocks=16 * words, together=together, tables=tables, distinct=True, first_distance=within(64))
+
+
 def _mix(h: np.ndarray, words: int) -> np.ndarray:
     """Word 0 is the hash itself, the others are independent mixes of it."""
     out = np.empty((len(h), words), np.uint64)
@@ -140,15 +168,24 @@ def fingerprint(text: bytes, s: Scheme) -> bytes:
     return np.packbits(2 * _counts(h, s.words) > len(h), axis=1, bitorder="little")[:, ::-1].tobytes()
 
 
+def shingle_set(text: bytes, k: int) -> bytes:
+    """The sorted hashes of the distinct shingles."""
+    return np.unique(shingle_hashes(text, k)).astype("<u8").tobytes()
+
+
 def fingerprints(docs: DataFrame, s: Scheme, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, digest (MD5 of the text), fp (binary, big-endian words) of each row."""
+    """id, digest (MD5 of the text), fp (binary, big-endian words) of each row, and where shingles count once, shingles
+    (MD5 of their set)."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("t"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         ts = b.column(1).to_pylist()
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([md5(t).digest() for t in ts], pa.binary()), pa.array([fingerprint(t, s) for t in ts], pa.binary())], names=["id", "digest", "fp"])
+        cols = {"id": b.column(0), "digest": pa.array([md5(t).digest() for t in ts], pa.binary()), "fp": pa.array([fingerprint(t, s) for t in ts], pa.binary())}
+        if s.distinct:
+            cols["shingles"] = pa.array([md5(shingle_set(t, s.shingle)).digest() for t in ts], pa.binary())
+        return pa.RecordBatch.from_pydict(cols)
 
-    return source.mapInArrow(by_row(run), "id long, digest binary, fp binary")
+    return source.mapInArrow(by_row(run), "id long, digest binary, fp binary" + ", shingles binary" * s.distinct)
 
 
 def _matrix(column: pa.Array, words: int) -> np.ndarray:
@@ -271,31 +308,35 @@ def bucket_links(node: np.ndarray, key: np.ndarray, part: np.ndarray, fp: np.nda
     return out
 
 
-def fingerprint_links(nodes: DataFrame, s: Scheme, chunk: int = CHUNK) -> DataFrame:
-    """a, b: links between nodes (node long, fp binary) that connect all that lie within the distance."""
+def _met(nodes: DataFrame, s: Scheme, chunk: int) -> DataFrame:
+    """node, key, part, n: buckets of n nodes, dealt into parts that are compared whole."""
     keys = checkpoint(shared_keys(nodes, s))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"))
     met = keys.join(sizes, "key").withColumn("c", F.ceil(F.col("n") / F.lit(chunk)).cast("long"))
     mine = F.pmod(F.xxhash64("node"), F.col("c"))
     # A bucket of c chunks has a task for each pair of chunks; a node goes to the c tasks of its own chunk.
-    dealt = met.select("node", "key", F.when(F.col("c") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("c") - 1), lambda o: F.least(o, mine) * F.col("c") + F.greatest(o, mine))).alias("parts"))
-    dealt = dealt.select("node", "key", F.explode("parts").alias("part")).join(nodes.select("node", "fp"), "node")
+    dealt = met.select("node", "key", "n", F.when(F.col("c") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("c") - 1), lambda o: F.least(o, mine) * F.col("c") + F.greatest(o, mine))).alias("parts"))
+    return dealt.select("node", "key", "n", F.explode("parts").alias("part"))
+
+
+def _bucket_pairs(dealt: DataFrame, s: Scheme, find: Callable[..., list[tuple[int, int]]]) -> DataFrame:
+    """a, b: what find makes of whole parts of buckets (node, key, part, fp, root)."""
     # The number of tasks follows the rows, as shuffle partitions do; buckets are bounded, so none of them is large.
-    dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part")
+    dealt = dealt.select("node", "key", "part", "fp", "root").repartition("key", "part").sortWithinPartitions("key", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: list[tuple[np.ndarray, ...]] = []  # what there is so far of the last bucket
 
         def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            links = bucket_links(*(np.concatenate(x) for x in zip(*parts, strict=True)), s.max_distance)
+            links = find(*(np.concatenate(x) for x in zip(*parts, strict=True)), s.max_distance)
             a, b = zip(*links, strict=True) if links else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = (b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), _matrix(b.column(3), s.words))
-            _, key, part, _ = cols
+            cols = (b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), _matrix(b.column(3), s.words), b.column(4).to_numpy())
+            _, key, part, _, _ = cols
             other = np.flatnonzero((key != key[-1]) | (part != part[-1]))
             cut = int(other[-1]) + 1 if len(other) else 0
             if tail and (cut or (tail[0][1][0], tail[0][2][0]) != (key[-1], part[-1])) or cut:
@@ -305,24 +346,90 @@ def fingerprint_links(nodes: DataFrame, s: Scheme, chunk: int = CHUNK) -> DataFr
         if tail:
             yield out(tail)
 
-    return dealt.select("node", "key", "part", "fp").mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def fingerprint_links(nodes: DataFrame, s: Scheme, chunk: int = CHUNK) -> DataFrame:
+    """a, b: links between nodes (node long, fp binary) that connect all that lie within the distance."""
+    dealt = _met(nodes, s, chunk).join(nodes.select("node", "fp"), "node").withColumn("root", F.col("node"))
+    return _bucket_pairs(dealt, s, lambda node, key, part, fp, _, most: bucket_links(node, key, part, fp, most))
+
+
+def apart_pairs(node: np.ndarray, key: np.ndarray, part: np.ndarray, fp: np.ndarray, root: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """All pairs of a part of a bucket that lie within the distance and have different roots."""
+    out: list[tuple[int, int]] = []
+    edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]), True])
+    for a, z in itertools.pairwise(edges.tolist()):
+        # Members of the largest component needn't be compared with one another.
+        names, of = np.unique(root[a:z], return_inverse=True)
+        big = np.bincount(of, minlength=len(names)).argmax()
+        at = np.r_[np.flatnonzero(of != big), np.flatnonzero(of == big)]
+        for k in range(int((of != big).sum())):
+            rest = at[k + 1 :]
+            rest = rest[of[rest] != of[at[k]]] + a
+            rest = rest[_distance(fp[rest] ^ fp[a + at[k]]) <= most]
+            out += ((int(node[a + at[k]]), x) for x in node[rest].tolist())
+    return out
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b) those whose sets (node, hashes) have the Jaccard similarity, exactly."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+        return b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(by_row(run), "a long, b long")
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, s: Scheme, similarity: float, text_col: str, chunk: int = CHUNK) -> DataFrame:
+    """a, b: links between nodes (node, fp, shingles) whose shingles have the similarity, which connect all such pairs that
+    the scheme proposes. A small bucket proposes all its pairs and a larger one first those of a spanning search. As some
+    of these fail, large buckets propose in a second round all pairs that are not connected by then."""
+    dealt = checkpoint(_met(nodes, s, chunk).join(nodes.select("node", "fp"), "node"))
+    ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = checkpoint(ordered(_bucket_pairs(dealt.withColumn("root", F.col("node")), s, lambda node, key, part, fp, _, most: bucket_links(node, key, part, fp, most))))
+    source = docs.select(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("t"))
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_set(t, s.shingle) for t in b.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array([md5(x).digest() for x in found], pa.binary()), pa.array(found, pa.binary())], names=["shingles", "hashes"])
+
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "shingles"), "node")
+    sets = checkpoint(source.mapInArrow(by_row(run), "shingles binary, hashes binary").join(wanted, "shingles").dropDuplicates(["node"]).select("node", "hashes"))
+    links = checkpoint(verified(pairs, sets, similarity))
+    large = dealt.where(F.col("n") > SMALL)
+    if large.isEmpty():
+        return links
+    roots = checkpoint(components(links, "a", "b"))
+    rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # What has no pair within the distance is in no pair of the second round either, so all sets are there.
+    again = ordered(_bucket_pairs(rooted, s, apart_pairs)).join(pairs, ["a", "b"], "left_anti")
+    return links.union(verified(checkpoint(again), sets, similarity))
 
 
 def simhash_groups(docs: DataFrame, scheme: Scheme | None = None, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, chunk: int = CHUNK) -> DataFrame:
-    """id, digest, fp, component (the smallest id reachable) and group (any number) of each row. Give a scheme, or a similarity for a scheme of
-    wide fingerprints; else 4 of 64 bits may differ."""
-    first = scheme or (similar_scheme(0, similarity) if similarity else Scheme())
+    """id, digest, fp, component (the smallest id reachable) and group (any number) of each row. Give a scheme, or a similarity of
+    shingles, which links are verified by; else 4 of 64 bits may differ."""
+    first = scheme or (candidate_scheme(0, similarity) if similarity else Scheme())
+    exact = similarity is not None and scheme is None
     rows = checkpoint(fingerprints(docs, first, id_col, text_col))
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("least")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    same = ["fp", "shingles"] if exact else ["fp"]
+    nodes = rows.groupBy(*same).agg(F.min("id").alias("least")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     nodes = checkpoint(nodes.withColumn("node", F.monotonically_increasing_id()))  # many parts, as each node has many keys
     n = nodes.count()
-    s = scheme or (similar_scheme(n, similarity) if similarity else exact_scheme(n))
-    met = components(fingerprint_links(nodes, s, chunk), "a", "b")
+    s = scheme or (candidate_scheme(n, similarity) if similarity else exact_scheme(n))
+    met = components(similar_links(docs, nodes, s, similarity, text_col, chunk) if exact else fingerprint_links(nodes, s, chunk), "a", "b")
     met = checkpoint(met.join(nodes.select("node", "least"), "node").select("node", "root", "least"))
     of_root = met.groupBy("root").agg(F.min("least").alias("component"))
     moved = met.join(of_root, "root").select("node", "root", "component")
-    named = nodes.join(moved, "node", "left").select("fp", F.coalesce("component", "least").alias("component"), F.coalesce("root", "node").alias("group"))
-    return rows.join(named, "fp").select("id", "digest", "fp", "component", "group")
+    named = nodes.join(moved, "node", "left").select(*same, F.coalesce("component", "least").alias("component"), F.coalesce("root", "node").alias("group"))
+    return rows.join(named, same).select("id", "digest", "fp", "component", "group")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
