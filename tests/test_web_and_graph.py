@@ -50,6 +50,21 @@ def test_pagerank(spark):
     assert {r.url: r.value for r in graph.with_ranks(pages, graph.pagerank(e, iterations=3)).collect()}["z"] == 1e-6
 
 
+def test_converged_pagerank_in_full_precision(spark):
+    rng = np.random.default_rng(7)
+    n, links = 2000, sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 1500, 6000), (rng.pareto(1, 6000) * 40).astype(int) % 2000, strict=True)})
+    got = {r.node: r.value for r in graph.pagerank(spark.createDataFrame(links, "src long, dst long"), tolerance=1e-12).collect()}
+    nodes = sorted({x for e in links for x in e})
+    at, n = {x: k for k, x in enumerate(nodes)}, len(nodes)
+    a, b = np.array([[at[x], at[y]] for x, y in links]).T
+    out, x = np.bincount(a, minlength=n), np.full(n, 1 / n)
+    for _ in range(300):
+        x = 0.15 / n + 0.85 * (x[out == 0].sum() / n + np.bincount(b, x[a] / out[a], minlength=n))
+    want = dict(zip(nodes, x.tolist(), strict=True))
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-8
+    assert max(want.values()) - min(want.values()) > 1e-3  # a uniform result differs
+
+
 def test_keywords_and_topics(spark, tmp_path):
     docs = spark.createDataFrame([(1, "apple apple pear river"), (2, "river river stone"), (3, ""), (4, None), (5, "stone pear apple")], "doc_id long, text string")
     top = {(r.doc_id, r.rank): r.term for r in keywords.keywords(docs, 1).collect()}
