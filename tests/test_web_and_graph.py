@@ -65,6 +65,11 @@ def test_converged_pagerank_in_full_precision(spark):
     assert max(want.values()) - min(want.values()) > 1e-3  # a uniform result differs
 
 
+def test_textrank_returns_k_whatever_the_iterations(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"word{chr(97 + i % 20)}" for i in range(90)))], "doc_id long, text string")
+    assert [keywords.textrank(docs, k, iterations=n).count() for k, n in ((5, 7), (3, 2))] == [5, 3]
+
+
 def test_keywords_and_topics(spark, tmp_path):
     docs = spark.createDataFrame([(1, "apple apple pear river"), (2, "river river stone"), (3, ""), (4, None), (5, "stone pear apple")], "doc_id long, text string")
     top = {(r.doc_id, r.rank): r.term for r in keywords.keywords(docs, 1).collect()}

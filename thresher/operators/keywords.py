@@ -48,10 +48,10 @@ def textrank(docs: DataFrame, k: int = 5, span: int = 5, iterations: int = 10, a
     weight = edges.groupBy("doc_id", "a").agg(F.sum("n").alias("total"))
     edges = checkpoint(edges.join(weight, ["doc_id", "a"]).select("doc_id", "a", "b", (F.col("n") / F.col("total")).alias("p")))
     ranks = weight.select("doc_id", F.col("a").alias("term"), F.lit(1.0).alias("score"))
-    for k in range(1, iterations + 1):
+    for done in range(1, iterations + 1):
         got = edges.join(ranks.withColumnRenamed("term", "a"), ["doc_id", "a"]).groupBy("doc_id", F.col("b").alias("term")).agg(F.sum(F.col("p") * F.col("score")).alias("got"))
         ranks = got.select("doc_id", "term", (F.lit(1 - alpha) + alpha * F.col("got")).alias("score"))
-        ranks = checkpoint(ranks) if k % 5 == 0 and k < iterations else ranks
+        ranks = checkpoint(ranks) if done % 5 == 0 and done < iterations else ranks
     ranks = ranks.withColumn("score", F.round("score", round_to))
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc("term"))
     return ranks.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("doc_id", "rank", "term", "score")
