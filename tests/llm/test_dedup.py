@@ -65,3 +65,12 @@ def test_line_dedup(spark):
     assert sum(key(x) == "shared" for t in first.values() for x in t.split("\n")) == 1
     with pytest.raises(ValueError):
         line_bitmaps(df, mode="some")
+
+
+def test_line_dedup_counts_equal_rows_once(spark):
+    def dropped(rows):
+        return sum(r.n_dropped for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=10).collect())
+
+    assert dropped([(7, "a\nb")] * 12) == dropped([(None, "a\nb")] * 12) == 0
+    assert dropped([(7, f"a\n{k}") for k in range(10)]) == dropped([(None, f"a\n{k}") for k in range(10)]) == 10
+    assert dropped([(k, "a\nb") for k in range(10)] + [(3, "a\nb")]) == 22

@@ -5,8 +5,9 @@ streamed past first; as the ranges also cut within a hash, one line that a third
 many tasks. Each task reports a hash once (a count of documents and the first place), and the reports are merged. The
 decision returns to the documents as runs of dropped line numbers, a run-length coded bitmap, not as text.
 
-Cases: a null or empty text is one empty line. A row is a document even if its id is null or repeated; equal rows get
-equal decisions, except that mode "first" then keeps the line in each of them. Lines whose key is shorter than
+Cases: a null or empty text is one empty line. Rows of equal id (or null) and equal text are one document where documents
+are counted, as the check's SQL counts distinct ids; a null id counts like any other, and rows of one id with different
+texts are documents of their own. Equal rows get equal decisions; mode "first" keeps the line in each of them. Lines whose key is shorter than
 min_chars always stay. An empty table gives an empty result.
 """
 
