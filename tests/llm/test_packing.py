@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -34,6 +35,15 @@ def test_ids_are_the_library_s(library):
     assert own.encode(texts) == want
 
 
+def test_added_tokens_in_texts(spark):
+    t = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "  <|endoftext|>  \n", "<|endoftext|", "<|<|endoftext|>|>", "'<|endoftext|>s", ""]
+    want = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert ByteTokens(PATH, added=True).encode(texts) == want and np.array([50256], "<u4").tobytes() == want[1]
+    rows = token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()
+    assert {r.doc_id: r.ids_crc32 for r in rows} == {k: zlib.crc32(x + bytes(4)) for k, x in enumerate(want)}
+
+
 def test_op6_keeps_its_contract(spark, library):
     sf = DATA / "sf0.01"
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

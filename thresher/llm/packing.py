@@ -34,9 +34,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 class ByteTokens:
     """Ids of a byte-level BPE file of the tokenizers library, as little-endian 32-bit numbers. Where its merges are in
     the order of the ids that they make, tiktoken's engine, which merges by rank, gives the same ids in a third of the
-    time; other files are refused. The string of a special token in a text is ordinary text."""
+    time; other files are refused. added: the string of an added token in a text is that token, as by the library's default;
+    else it is ordinary text, as with encode_special_tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -47,20 +48,22 @@ class ByteTokens:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
-        special = {t["content"] for t in spec["added_tokens"]}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if added and any(not t["special"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+            raise ValueError("added tokens are not plain special ones")
         ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in vocab.items() if t not in special}
         for k, m in enumerate(merges):
             if vocab["".join(m.split(" ") if isinstance(m, str) else m)] != 256 + k:
                 raise ValueError("merges are not in the order of ids")
-        self.engine = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.engine = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        return [self.engine.encode_to_numpy(t).astype("<u4").tobytes() for t in batch]
+        return [self.engine.encode_to_numpy(t, allowed_special="all").astype("<u4").tobytes() for t in batch]
 
 
 @lru_cache(2)
 def tokens(path: str) -> ByteTokens:
-    return ByteTokens(path)
+    return ByteTokens(path, added=True)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
