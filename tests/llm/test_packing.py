@@ -94,3 +94,10 @@ def test_partitions_exchange_and_odd_rows(spark):
             assert sum(r.length for r in ps) <= 2048 and sorted(r.offset for r in ps)[0] == 0
     assert len({r.sequence_id for r in dealt}) <= 1.04 * len({r.sequence_id for r in whole}) + 1
     assert pack(token_pieces(docs.limit(0), PATH)).count() == 0
+
+
+def test_equal_rows_are_dealt_apart(spark):
+    docs = spark.createDataFrame([(None, "tok tok tok")] * 3000 + [(4, "tok tok")] * 3000, "doc_id long, text string").repartition(4)
+    rows = pack(token_pieces(docs, PATH), part=500, rounds=1).collect()
+    sizes = np.unique([r.sequence_id >> 32 for r in rows], return_counts=True)[1]
+    assert len(rows) == 6000 and len(sizes) == 12 and sizes.max() < 1000

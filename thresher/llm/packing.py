@@ -148,23 +148,23 @@ def _pack(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 4, part: int = PART) -> DataFrame:
     """pieces (doc_id, piece, start, length, ids_crc32) with sequence_id, offset and certified."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, part long, certified boolean"
-    todo = checkpoint(pieces.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")}))
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, row long, part long, certified boolean"
+    todo = checkpoint(pieces.withColumns({"row": F.monotonically_increasing_id(), "sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")}))
     done: list[DataFrame] = []
     for k in range(rounds):
         count = todo.count()
         if not count:
             break
         parts = -(-count // part)
-        # At first a piece is dealt alone; then a bin is, with what it holds.
-        key = F.xxhash64(F.lit(k), *(["sequence_id"] if k else ["doc_id", "piece", "ids_crc32", "start"]))
+        # At first a piece is dealt alone, by its number so that equal rows go apart; then a bin is, with what it holds.
+        key = F.xxhash64(F.lit(k), *(["sequence_id"] if k else ["doc_id", "piece", "ids_crc32", "start", "row"]))
         dealt = todo.withColumn("part", (F.lit(k) * F.lit(1 << 26) + F.pmod(key, F.lit(parts))).cast("long"))
         packed = checkpoint(dealt.groupBy("part").applyInPandas(lambda pdf: _pack(pdf, capacity), schema))
         if parts == 1 or k == rounds - 1:
-            return _union([*done, packed.drop("part")])
-        done.append(packed.where("certified").drop("part"))
+            return _union([*done, packed.drop("part", "row")])
+        done.append(packed.where("certified").drop("part", "row"))
         todo = packed.where("NOT certified").drop("part", "certified")
-    return _union(done) if done else todo.withColumn("certified", F.lit(True))
+    return _union(done) if done else todo.drop("row").withColumn("certified", F.lit(True))
 
 
 def _union(dfs: list[DataFrame]) -> DataFrame:
