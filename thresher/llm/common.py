@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The white space of the contracts: \x20 and \x09 to \x0D.
@@ -30,10 +31,14 @@ def hash128(*cs: Column, name: str = "h") -> list[Column]:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; where it is unset (tests) a local one does."""
+    """The cluster names the shared folder in spark.checkpoint.dir. Where it is unset a local one does in local mode
+    (tests), and anything else is an error, as other machines would not see it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="thresher-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="thresher-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -42,21 +47,52 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def without_rows(docs: DataFrame, id_: Column, digest: Column, lost: DataFrame, repeated: DataFrame) -> DataFrame:
     """docs without the rows whose (id, digest) is in lost; of those in repeated one row each. Both have the columns id
     and digest."""
+    i, d = unused(docs, "id", "digest")
 
     def named(x: DataFrame) -> DataFrame:
-        return x.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
+        return x.select(F.col("id").alias(i), F.col("digest").alias(d))
 
-    on = id_.eqNullSafe(F.col("__id")) & (digest == F.col("__digest"))
+    on = id_.eqNullSafe(F.col(i)) & (digest == F.col(d))
     left = docs.join(named(lost), on, "left_anti")
     if repeated.isEmpty():
         return left
-    once = left.join(named(repeated), on, "left_semi").withColumns({"__id": id_, "__digest": digest}).dropDuplicates(["__id", "__digest"]).drop("__id", "__digest")
+    once = left.join(named(repeated), on, "left_semi").withColumns({i: id_, d: digest}).dropDuplicates([i, d]).drop(i, d)
     return left.join(named(repeated), on, "left_anti").unionByName(once)
 
 
+def map_texts(df: DataFrame, keep: tuple[str, ...], text: Column, made: list[tuple[str, T.DataType]], f: Callable[[pa.Array], list[pa.Array]], rows: int = 512) -> DataFrame:
+    """The columns in keep, and those named in made, which f makes of slices of text. A made column takes the place of a
+    kept one of its name; other columns may have any name."""
+    new = {n.lower() for n, _ in made}
+    keep = tuple(c for c in keep if c.lower() not in new)
+    source = df.select(*(quoted(c).alias(f"k{i}") for i, c in enumerate(keep)), text.alias("x"))
+    schema = T.StructType([*(T.StructField(f"k{i}", source.schema[f"k{i}"].dataType) for i in range(len(keep))), *(T.StructField(f"m{i}", t) for i, (_, t) in enumerate(made))])
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*b.columns[:-1], *f(b.column(b.num_columns - 1))], names=schema.names)
+
+    return source.mapInArrow(by_row(run, rows), schema).toDF(*keep, *(n for n, _ in made))
+
+
 def by_row(f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], rows: int = 512):
     """For mapInArrow: give f slices of at most so many rows, which bounds what Python holds at once."""
 
