@@ -20,7 +20,8 @@ def low(t):
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame(ROWS, "doc_id long, text string, keep_id string").repartition(4)
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, keep_id string").repartition(4)
+    return df.selectExpr("*", *(f"1 AS `{c}`" for c in ("id", "_id", "__id", "digest", "__digest", "n", "p", "d", "t", "row", "a.b")))
 
 
 @pytest.mark.parametrize("options", [{}, {"digest_all": True}, {"prefix": 1}, {"broadcast_keys": 0}])
@@ -51,7 +52,7 @@ def lines_of(rng):
 def test_line_dedup(spark):
     rng = random.Random(4)
     rows = [(k, lines_of(rng), "n") for k in range(60)] + [(70, None, "n"), (71, "", "n"), (None, "shared\nx", "n"), (72, "shared\n" * 50_000, "n")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines string").withColumnRenamed("n_lines", "note")
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines string").selectExpr("*", *(f"1 AS `{c}`" for c in ("id", "k1", "__k1", "runs", "lines", "_lines", "line", "pos", "a.b")))
     key = lambda x: low(x.strip(" \t\n\x0b\x0c\r"))
     n = Counter(k for _, t, _ in rows for k in {key(x) for x in (t or "").split("\n")})
     gone = {k for k, c in n.items() if c >= 10 and k}
@@ -60,7 +61,7 @@ def test_line_dedup(spark):
     assert {r.doc_id: r.text for r in got} == want and len(got) == len(rows)
     for r, t in ((r, next(t for i, t, _ in rows if i == r.doc_id)) for r in got):
         assert r.n_lines == len((t or "").split("\n")) and r.n_dropped == sum(key(x) in gone for x in (t or "").split("\n"))
-    assert line_dedup(df.limit(0)).count() == 0
+    assert line_dedup(df.limit(0)).count() == 0 and set(line_dedup(df).columns) == {*df.columns, "n_dropped"}
     first = {r.doc_id: r.text for r in line_dedup(df.where("doc_id < 60"), min_docs=10, mode="first").collect()}
     assert sum(key(x) == "shared" for t in first.values() for x in t.split("\n")) == 1
     with pytest.raises(ValueError):

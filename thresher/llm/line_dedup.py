@@ -7,8 +7,9 @@ decision returns to the documents as runs of dropped line numbers, a run-length
 
 Cases: a null or empty text is one empty line. Rows of equal id (or null) and equal text are one document where documents
 are counted, as the check's SQL counts distinct ids; a null id counts like any other, and rows of one id with different
-texts are documents of their own. Equal rows get equal decisions; mode "first" keeps the line in each of them. Lines whose key is shorter than
-min_chars always stay. An empty table gives an empty result.
+texts are documents of their own. Equal rows get equal decisions; mode "first" keeps the line in each of them. Lines whose
+key is shorter than min_chars always stay. Very long texts are split whole. An empty table gives an empty result. n_lines,
+n_dropped and the text take the place of input columns of their names; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, checkpoint, hash128, read
+from .common import SPACE, ascii_lower, checkpoint, hash128, quoted, read, unused
 
 
 def line_key(line: Column) -> Column:
@@ -24,7 +25,7 @@ def line_key(line: Column) -> Column:
 
 
 def _document_key(id_col: str, text_col: str) -> list[Column]:
-    return hash128(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")), name="k")
+    return hash128(quoted(id_col), F.coalesce(quoted(text_col), F.lit("")), name="k")
 
 
 def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, mode: str = "all") -> DataFrame:
@@ -33,7 +34,7 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     come first by id and position."""
     if mode not in ("all", "first"):
         raise ValueError(f"mode {mode!r}: all or first")
-    lines = docs.select(F.col(id_col).alias("id"), *_document_key(id_col, text_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("pos", "line"))
+    lines = docs.select(quoted(id_col).alias("id"), *_document_key(id_col, text_col), F.posexplode(F.split(F.coalesce(quoted(text_col), F.lit("")), "\n", -1)).alias("pos", "line"))
     lines = lines.withColumn("line", line_key(F.col("line"))).where(F.char_length("line") >= max(min_chars, 0))
     lines = checkpoint(lines.select("id", "k1", "k2", "pos", *hash128(F.col("line"))))
     once = lines.groupBy("h1", "h2", "k1", "k2").agg(F.count("*").alias("c"), F.min(F.struct("id", "pos")).alias("at"))
@@ -51,19 +52,20 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with its text cut, and n_lines (before) and n_dropped."""
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
+    a, b, runs, all_lines = unused(docs, "k1", "k2", "runs", "lines")
+    text = F.coalesce(quoted(text_col), F.lit(""))
     k1, k2 = _document_key(id_col, text_col)
-    both = docs.withColumns({"__k1": k1, "__k2": k2}).join(bitmaps.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("dropped").alias("__runs")), ["__k1", "__k2"], "left")
-    both = both.withColumn("__lines", lines)
-    ends = F.concat(F.transform("__runs", lambda r: r["start"]), F.array(F.size("__lines")))
-    begins = F.concat(F.array(F.lit(0)), F.transform("__runs", lambda r: r["stop"]))
-    kept = F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice("__lines", a + 1, b - a)))
+    both = docs.withColumns({a: k1, b: k2}).join(bitmaps.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("dropped").alias(runs)), [a, b], "left")
+    both = both.withColumn(all_lines, F.split(text, "\n", -1))
+    ends = F.concat(F.transform(runs, lambda r: r["start"]), F.array(F.size(all_lines)))
+    begins = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["stop"]))
+    kept = F.flatten(F.zip_with(begins, ends, lambda x, y: F.slice(all_lines, x + 1, y - x)))
     both = both.withColumns({
-        "n_lines": F.size("__lines").cast("long"),
-        "n_dropped": F.coalesce(F.aggregate("__runs", F.lit(0).cast("long"), lambda s, r: s + (r["stop"] - r["start"])), F.lit(0).cast("long")),
-        text_col: F.when(F.col("__runs").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n")),
+        "n_lines": F.size(all_lines).cast("long"),
+        "n_dropped": F.coalesce(F.aggregate(runs, F.lit(0).cast("long"), lambda s, r: s + (r["stop"] - r["start"])), F.lit(0).cast("long")),
+        text_col: F.when(F.col(runs).isNull(), text).otherwise(F.array_join(kept, "\n")),
     })
-    return both.drop("__k1", "__k2", "__runs", "__lines")
+    return both.drop(a, b, runs, all_lines)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
