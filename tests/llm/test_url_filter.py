@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from thresher.llm.url_filter import RULES, Rules, filter_urls, pack_rules, split_url
 
@@ -42,9 +43,25 @@ def test_random_rules_with_and_without_collisions(tmp_path):
 
 def test_odd_rows(spark):
     rows = [(1, "http://www.example.com/en/x", "h"), (1, "http://www.example.com/en/x", "h"), (2, "http://q.example.com/en/", None), (None, None, "h"), (3, "http://a.net/fr/" + "z/" * 50_000, "h")]
-    df = spark.createDataFrame(rows, "page_id long, url string, host string").withColumnRenamed("host", "verdict")
-    got = filter_urls(df, keep=("page_id", "verdict")).collect()
-    assert [(r[0], r.rule, r[5]) for r in sorted(got, key=lambda r: (r[0] or 0))] == [(None, None, "allow"), (1, "www.example.com/en/", "allow"), (1, "www.example.com/en/", "allow"), (2, "example.com/en/", "block"), (3, "net/fr/", "block")]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string").selectExpr("*", "1 AS k0", "1 AS x", "1 AS `a.b`")
+    found = filter_urls(df, keep=("page_id", "host", "k0", "x", "a.b"))
+    assert found.columns == ["page_id", "k0", "x", "a.b", "host", "path", "rule", "verdict"]
+    got = found.collect()
+    assert [(r[0], r.rule, r.verdict) for r in sorted(got, key=lambda r: (r[0] or 0))] == [(None, None, "allow"), (1, "www.example.com/en/", "allow"), (1, "www.example.com/en/", "allow"), (2, "example.com/en/", "block"), (3, "net/fr/", "block")]
     assert filter_urls(df.limit(0)).count() == 0
     assert {r.verdict for r in filter_urls(df.select("url"), [], default="keep").collect()} == {"keep"}
     assert RULES[0] == ("com", "/", "allow")
+
+
+def test_long_hosts_cost_no_more_than_their_length(tmp_path):
+    rules = packed(tmp_path, RULES)
+
+    def seconds(n):
+        urls = [f"http://{'a.' * n}net/fr/{'b/' * n}"] * 20
+        at = time.perf_counter()
+        assert {x[2:] for x in rules.match(urls, "allow")} == {("net/fr/", "block")}
+        return time.perf_counter() - at
+
+    seconds(1000)
+    small, large = min(seconds(4000) for _ in range(5)), min(seconds(32_000) for _ in range(3))
+    assert large < 24 * small + 0.05  # eight times as long; quadratic would be 64

@@ -2,13 +2,15 @@
 
 Rules (a host with its subdomains, a path prefix, a verdict) are one file: sorted 64-bit xxhash keys of host + path, then
 offsets, verdicts and the full strings. The file goes to the executors with Spark's own file server; all Python workers
-of a machine map the same pages. For a batch of urls, each host suffix with each path prefix of a length that some rule
-has is a candidate; candidates are hashed, found by one vectorised binary search, and confirmed against the full string,
+of a machine map the same pages. For a batch of urls, each suffix of the host with each prefix of the path is a candidate
+if some rules have such lengths, so a long url has no more candidates than a short one; candidates are hashed, found by one vectorised binary search, and confirmed against the full string,
 so a collision of hashes never decides.
 
 Cases: a null url, or one without ://, has an empty host and path and meets no rule. The longest rule string wins, of
-equal strings the one with the longer host; a rule given twice keeps its last verdict. Repeated rows get repeated
-results, an empty table an empty one. No rules: the default verdict for all.
+equal strings the one with the longer host; a rule given twice keeps its last verdict, and a rule with an empty host meets
+nothing. Urls of any length are read whole. Repeated rows get repeated results, an empty table an empty one. No rules: the
+default verdict for all. host, path, rule and verdict take the place of kept columns of their names; other columns may
+have any name.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -24,10 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import publish, read
+from .common import map_texts, publish, quoted, read
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 LOWER = {x: x + 32 for x in range(65, 91)}
@@ -45,7 +46,7 @@ def pack_rules(rules: Iterable[tuple[str, str, str]], hashed=xxhash.xxh64_intdig
     rows = sorted((hashed(f"{h}\n{p}".encode()), f"{h}\n{p}".encode(), v) for (h, p), v in by.items())
     verdicts = sorted({v for *_, v in rows})
     ends = np.cumsum([0, *(len(s) for _, s, _ in rows)], dtype="<u8")
-    head = json.dumps({"n": len(rows), "verdicts": verdicts, "lengths": sorted({len(p) for _, p in by})}).encode()
+    head = json.dumps({"n": len(rows), "verdicts": verdicts, "lengths": sorted({len(p) for _, p in by}), "hosts": sorted({len(h) for h, _ in by})}).encode()
     head = len(head).to_bytes(8, "little") + head + b" " * (-len(head) % 8)
     body = head + np.array([k for k, *_ in rows], "<u8").tobytes() + ends.tobytes() + bytes(verdicts.index(v) for *_, v in rows) + b"".join(s for _, s, _ in rows)
     return f"url-rules-{hashlib.sha256(body).hexdigest()[:24]}.bin", body
@@ -61,22 +62,23 @@ class Rules:
         self.ends = data[at + 8 * n : at + 16 * n + 8].view("<u8")
         self.kinds = data[at + 16 * n + 8 : at + 17 * n + 8]
         self.blob = data[at + 17 * n + 8 :]
-        self.lengths, self.verdicts, self.hashed = head["lengths"], head["verdicts"], hashed
+        self.lengths, self.hosts, self.verdicts, self.hashed = head["lengths"], head["hosts"], head["verdicts"], hashed
 
     def match(self, urls: list[str | None], default: str) -> list[tuple[str, str, str | None, str]]:
         parts = [split_url(u) for u in urls]
         who: list[int] = []
         what: list[tuple[int, int, bytes]] = []
         for k, (host, path) in enumerate(parts):
-            at = 0
-            while host and at >= 0:
+            for size in self.hosts:
+                at = len(host) - size
+                if not size or at < 0 or at and host[at - 1] != ".":
+                    continue
                 suffix = host[at:]
                 for n in self.lengths:
                     if n > len(path):
                         break
                     who.append(k)
                     what.append((len(suffix) + n, len(suffix), f"{suffix}\n{path[:n]}".encode()))
-                at = host.find(".", at) + 1 or -1
         best: dict[int, tuple[int, int, str, str]] = {}
         if what and len(self.keys):
             keys = np.fromiter((self.hashed(s) for *_, s in what), np.uint64, len(what))
@@ -103,17 +105,13 @@ def filter_urls(df: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, ur
     spark = df.sparkSession
     name, data = pack_rules(rules)
     publish(spark, name, data)
-    source = df.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(url_col).alias("url"))
-    names = ("host", "path", "rule", "verdict")
-    schema = T.StructType([*(T.StructField(f"k{i}", source.schema[f"k{i}"].dataType) for i in range(len(keep))), *(T.StructField(x, T.StringType()) for x in names)])
+    made = [(x, T.StringType()) for x in ("host", "path", "rule", "verdict")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _rules(SparkFiles.get(name))
-        for b in batches:
-            cols = list(zip(*found.match(b.column("url").to_pylist(), default), strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, pa.string()) for c in cols)], names=schema.names)
+    def judged(urls: pa.Array) -> list[pa.Array]:
+        found = _rules(SparkFiles.get(name)).match(urls.to_pylist(), default)
+        return [pa.array(c, pa.string()) for c in (zip(*found, strict=True) if found else [()] * 4)]
 
-    return source.mapInArrow(run, schema).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *names)
+    return map_texts(df, keep, quoted(url_col), made, judged, rows=10_000)
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
