@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import struct
 import zlib
 
 import numpy as np
 import pytest
 from compare import DATA
 
-from thresher.llm.media import ALAW, IMA, MULAW, PCM, TABLES, decode_adpcm, decode_media, encode_adpcm, expand, read_wav, resample, write_wav
+from thresher.llm.media import ALAW, IMA, MULAW, PCM, TABLES, _features, compress_alaw, decode_adpcm, decode_media, encode_adpcm, expand, read_wav, resample, write_wav
 from thresher.llm.queries import QUERIES
 
 
@@ -78,7 +80,41 @@ def test_op9(spark):
 
 def test_odd_rows(spark):
     rows = [(1, None, "p"), (2, b"junk", "p"), (3, write_wav(bytes(100_000)), "p"), (3, write_wav(bytes(100_000)), "p"), (None, write_wav(b"\0" * 512, IMA), None)]
-    df = spark.createDataFrame(rows, "doc_id long, media binary, pcm string").withColumnRenamed("pcm", "note")
-    got = decode_media(df, keep=("doc_id", "note")).collect()
+    df = spark.createDataFrame(rows, "doc_id long, media binary, pcm string").selectExpr("*", "1 AS x", "1 AS k0", "1 AS `a.b`")
+    found = decode_media(df, keep=("doc_id", "pcm", "x", "k0", "a.b"))
+    assert found.columns == ["doc_id", "x", "k0", "a.b", "pcm", "n_samples", "error"]
+    got = found.collect()
     assert [(r.doc_id, r.n_samples, r.error is None) for r in sorted(got, key=lambda r: r.doc_id or 0)] == [(None, 2020, True), (1, 0, True), (2, None, False), (3, 200_000, True), (3, 200_000, True)]
     assert decode_media(df.limit(0), keep=("doc_id",)).count() == 0
+
+
+@pytest.mark.parametrize(("kind", "rate", "block"), [(MULAW, 0, 1), (MULAW, 1, 1), (MULAW, 4_000_000_000, 1), (IMA, 8000, 0), (IMA, 8000, 2), (IMA, 8000, 3), (IMA, 8000, 4)])
+def test_absurd_headers_are_errors(spark, kind, rate, block):
+    wav = bytearray(write_wav(bytes(1000), MULAW, 8000))
+    wav[20:22], wav[24:28], wav[32:34] = kind.to_bytes(2, "little"), rate.to_bytes(4, "little"), block.to_bytes(2, "little")
+    r = decode_media(spark.createDataFrame([(bytes(wav),)], "media binary")).first()
+    assert r.pcm is None and r.n_samples is None and r.error
+
+
+def test_alaw_is_the_nearest_code():
+    x = np.array([*range(-32768, 32768, 37), 32767, 8, -8, 0], np.int16)
+    codes = np.frombuffer(compress_alaw(x), np.uint8)
+    near = np.abs(TABLES[ALAW].astype(int)[None, :] - x.astype(int)[:, None]).min(1)
+    assert (np.abs(TABLES[ALAW][codes].astype(int) - x) == near).all()
+    assert compress_alaw(TABLES[ALAW]) == bytes(range(256))
+
+
+def test_features_of_the_query_by_plain_code():
+    """Samples, crossings and checksums, computed one sample at a time."""
+    data = bytes(random.Random(2).choices(range(256), k=1024))
+    pcm = [int(TABLES[MULAW][b]) for b in data]
+    twice = [v for k, a in enumerate(pcm) for v in (a, a + (pcm[min(k + 1, len(pcm) - 1)] - a) // 2)]
+    rows, known = [], sorted(range(256), key=lambda c: (int(TABLES[ALAW][c]), c))
+    for a in pcm:
+        rows.append(int(TABLES[ALAW][min(known, key=lambda c: (abs(int(TABLES[ALAW][c]) - a), int(TABLES[ALAW][c])))]))
+    crc = lambda xs: zlib.crc32(struct.pack(f"<{len(xs)}h", *xs))
+    want = f"rate=8000;samples=1024;mean_square={sum(a * a for a in pcm) // 1024};crossings={sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:], strict=False))};peak={max(map(abs, pcm))};pcm16000_crc32={crc(twice)};"
+    got = _features(np.array(pcm, np.int16), 8000)
+    assert got.startswith(want) and got.endswith(f"alaw_crc32={crc(rows)}")
+    adpcm = decode_adpcm(encode_adpcm(np.array(pcm, np.int16)))[:1024]
+    assert f";adpcm_crc32={zlib.crc32(adpcm.tobytes())};" in got

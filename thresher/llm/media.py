@@ -4,8 +4,11 @@ mu-law and A-law samples are expanded by lookup tables; IMA ADPCM is decoded wit
 step per position in a block; resampling is integer linear interpolation. Long recordings are worked on in pieces, so
 memory beyond the recording itself is bounded.
 
-Cases: null media or text is empty. A file that can't be read gives nulls and its error. Repeated rows get repeated
-results, equal bytes equal ones. An empty table gives an empty result. Other columns pass through where they are named.
+Cases: null media or text is empty. A file that can't be read gives nulls and its error; so does one whose sampling rate is
+not from 1,000 to 384,000 a second (FASTEST), whose ADPCM blocks are shorter than 5 bytes or whose result would not fit in a
+WAV file. Very long recordings are read whole. Repeated rows get repeated results, equal bytes equal ones. An empty table
+gives an empty result. Other columns pass through where they are named; pcm, n_samples and error take the place of kept
+columns of their names.
 """
 
 from __future__ import annotations
@@ -19,11 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import by_row, read, texts
+from .common import map_texts, quoted, read
 
 PIECE = 1 << 18
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 17
+SLOWEST, FASTEST = 1_000, 384_000
 
 
 def _mulaw_table() -> np.ndarray:
@@ -109,6 +114,10 @@ def read_wav(wav: bytes) -> tuple[int, int, int, bytes]:
             kind, channels, rate, _, align, _ = head = struct.unpack_from("<HHIIHH", wav, at + 8)
             if channels != 1 or kind not in (PCM, ALAW, MULAW, IMA):
                 raise ValueError(f"{channels} channels of format {kind}")
+            if not SLOWEST <= rate <= FASTEST:
+                raise ValueError(f"a rate of {rate}")
+            if kind == IMA and align < 5:
+                raise ValueError(f"blocks of {align} bytes")
         elif name == b"data" and head:
             return kind, rate, align, wav[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
@@ -133,34 +142,47 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> Iterator[np.ndarray]:
 
 def decode_media(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = (), rate: int = 16000) -> DataFrame:
     """The columns in keep, with pcm (a WAV file of 16-bit samples at the given rate), n_samples and error."""
-    source = df.select(*keep, F.col(media_col).cast("binary").alias("__media"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema) + (", " if keep else "") + "pcm binary, n_samples long, error string"
+    made = [("pcm", T.BinaryType()), ("n_samples", T.LongType()), ("error", T.StringType())]
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for x in b.column(b.num_columns - 1).to_pylist():
-            try:
-                kind, at, block, data = read_wav(x or write_wav(b""))
-                pcm = b"".join(y.tobytes() for y in resample(expand(kind, data, block), at, rate))
-                out.append((write_wav(pcm, PCM, rate), len(pcm) // 2, None))
-            except ValueError as e:
-                out.append((None, None, str(e)))
-        a, n, e = zip(*out, strict=True) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(a, pa.binary()), pa.array(n, pa.int64()), pa.array(e, pa.string())], names=[*keep, "pcm", "n_samples", "error"])
+    def one(x: bytes | None) -> tuple[bytes | None, int | None, str | None]:
+        try:
+            kind, at, block, data = read_wav(x or write_wav(b""))
+            samples = expand(kind, data, block)
+            if 2 * len(samples) * rate // at > 0xFFFFFF00:
+                raise ValueError("too long for a WAV file")
+            pcm = b"".join(y.tobytes() for y in resample(samples, at, rate))
+            return write_wav(pcm, PCM, rate), len(pcm) // 2, None
+        except ValueError as e:
+            return None, None, str(e)
 
-    return source.mapInArrow(by_row(run, 64), schema)
+    def decoded(media: pa.Array) -> list[pa.Array]:
+        a, n, e = zip(*map(one, media.to_pylist()), strict=True) if len(media) else ((), (), ())
+        return [pa.array(a, pa.binary()), pa.array(n, pa.int64()), pa.array(e, pa.string())]
+
+    return map_texts(df, keep, quoted(media_col).cast("binary"), made, decoded, rows=64)
 
 
 def _features(pcm: np.ndarray, rate: int) -> str:
-    energy = crossings = peak = crc = 0
+    """Of the expanded samples, and of what is made of them: the stored PCM file at twice the rate, and the ADPCM and A-law
+    files, each read back and expanded again."""
+    energy = crossings = peak = 0
     for at in range(0, len(pcm), PIECE):
         x = pcm[at : at + PIECE + 1].astype(np.int64)  # one more, for the crossing at the border
         crossings += int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
         energy += int((x[:PIECE] ** 2).sum())
         peak = max(peak, int(np.abs(x[:PIECE]).max()))
-    for x in resample(pcm, rate, 2 * rate):
-        crc = zlib.crc32(x, crc)
-    return f"rate={rate};samples={len(pcm)};mean_square={energy // max(1, len(pcm))};crossings={crossings};peak={peak};pcm{2 * rate}_crc32={crc}"
+    again = []
+    for kind, to, data in ((PCM, 2 * rate, b"".join(x.tobytes() for x in resample(pcm, rate, 2 * rate))), (IMA, rate, encode_adpcm(pcm)), (ALAW, rate, compress_alaw(pcm))):
+        kind, _, block, data = read_wav(write_wav(data, kind, to))
+        again.append(zlib.crc32(expand(kind, data, block)[: len(pcm) * to // rate].tobytes()))
+    return f"rate={rate};samples={len(pcm)};mean_square={energy // max(1, len(pcm))};crossings={crossings};peak={peak};pcm{2 * rate}_crc32={again[0]};adpcm_crc32={again[1]};alaw_crc32={again[2]}"
+
+
+def compress_alaw(pcm: np.ndarray) -> bytes:
+    """The A-law codes whose samples are nearest (of two as near, the lower sample's)."""
+    order = np.argsort(TABLES[ALAW], kind="stable").astype(np.uint8)
+    known = TABLES[ALAW][order].astype(np.int64)
+    return order[np.searchsorted((known[1:] + known[:-1]) / 2, pcm)].tobytes()
 
 
 def _stored(text: str) -> tuple[int, int, str, int, int, str, str]:
@@ -171,12 +193,11 @@ def _stored(text: str) -> tuple[int, int, str, int, int, str, str]:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    long, string = T.LongType(), T.StringType()
+    made = [("n_bytes", long), ("payload_bytes", long), ("payload_sha256", string), ("tail_crc32", long), ("media_bytes", long), ("media_sha256", string), ("feature", string)]
+    kinds = [pa.int64() if t is long else pa.string() for _, t in made]
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        cols = list(zip(*map(_stored, texts(b)), strict=True)) or [()] * len(names)
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols, kinds)], names=["doc_id", *names])
+    def stored(some: pa.Array) -> list[pa.Array]:
+        return list(map(pa.array, list(zip(*map(_stored, some.to_pylist()), strict=True)) or [()] * len(made), kinds))
 
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
-    return docs.mapInArrow(by_row(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_texts(read(spark, sf_dir, "documents"), ("doc_id",), F.coalesce("text", F.lit("")), made, stored)
