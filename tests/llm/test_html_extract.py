@@ -8,6 +8,7 @@ import time
 from html import unescape
 
 import numpy as np
+import pytest
 from compare import DATA
 
 from thresher.llm.html_dom import block_texts, parse
@@ -86,8 +87,25 @@ def test_article_among_everything_else():
 
 def test_odd_rows(spark):
     rows = [(1, None, "n"), (2, "", None), (3, "<div>" * 3000 + "x", "n"), (3, "<div>" * 3000 + "x", "n"), (4, "<article><p>" + "word, " * 60_000, "n"), (None, "plain", "n")]
-    df = spark.createDataFrame(rows, "page_id long, html string, text string")
-    got = extract_html(df, ("page_id", "text"), text_col="main").collect()
+    df = spark.createDataFrame(rows, "page_id long, html string, text string").selectExpr("*", "1 AS main", "1 AS x", "1 AS __html", "1 AS `a.b`")
+    found = extract_html(df, ("page_id", "text", "main", "x", "__html", "a.b"), text_col="main")
+    assert found.columns == ["page_id", "text", "x", "__html", "a.b", "main"]
+    got = found.collect()
     assert len(got) == 6 and {r.main for r in got if r.page_id in (1, 2)} == {""}
     assert next(len(r.main) for r in got if r.page_id == 4) == 359_999
     assert extract_html(df.limit(0), ("page_id",)).count() == 0
+
+
+@pytest.mark.parametrize("make", [
+    lambda n: "<div>" * n + "<body>" * n, lambda n: "<li><ul>" + "<span>" * n + "<li>x</li>" * n, lambda n: "<p><button>" + "<span>" * n + "<div></div>" * n, lambda n: "<b>" * n + "</i>" * n,
+    lambda n: '<a x="' + '>" <a y="' * n, lambda n: "<div>" * n + "</p>" * n + "</div>" * n, lambda n: "<a <" * n, lambda n: "<!--" * n, lambda n: "&" * n + "<" * n, lambda n: "<table><td>" * n,
+])
+def test_reading_grows_with_the_length(make):
+    def seconds(n):
+        html, at = make(n), time.perf_counter()
+        parse(html)
+        return time.perf_counter() - at
+
+    seconds(500)
+    small, large = min(seconds(3000) for _ in range(3)), seconds(24_000)
+    assert large < 24 * small + 0.2  # eight times as long; quadratic would be 64

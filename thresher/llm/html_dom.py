@@ -25,6 +25,8 @@ IMPLIED = {
     "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"}),
 }
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|</([a-zA-Z][^\s/>]*+)[^>]*+>?|<([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*+)([^>]*+)>?""", re.S)
+#: The same without regard to quotes.
+_UNQUOTED = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|</([a-zA-Z][^\s/>]*+)[^>]*+>?|<([a-zA-Z][^\s/>]*+)([^>]*+)>?()()""", re.S)
 _ATTR = re.compile(r"""([^\s=>"'/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++)))?""")
 
 
@@ -53,35 +55,44 @@ def attributes(raw: str) -> dict[str, str]:
 
 def parse(html: str) -> Page:
     page, block, at, size = Page(), 0, 0, len(html)
-    # Open elements: tag, node that texts in it belong to. links counts the open <a>.
+    # Open elements: tag, node that texts in it belong to; and the places in it of each tag and of those that aren't inline.
     stack: list[tuple[str, int]] = [("#root", 0)]
-    links, in_head = 0, False
-
-    def pop_to(k: int) -> None:
-        nonlocal links, block
-        for tag, _ in stack[k:]:
-            links -= tag == "a"
-            block += tag not in INLINE
+    places: dict[str, list[int]] = {}
+    blocks = [0]
+    in_head, pattern = False, _TAG
+
+    def push(tag: str, node: int) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
+        stack.append((tag, node))
+
+    def pop_to(k: int, ends: bool = True) -> None:
+        nonlocal block
+        for tag, _ in reversed(stack[k:]):
+            places[tag].pop()
+            if tag not in INLINE:
+                blocks.pop()
+                block += ends
         del stack[k:]
 
     def text(a: int, z: int) -> None:
         if a < z and not in_head:
             t = unescape(html[a:z])
             if t:
-                page.pieces.append((stack[-1][1], block, t, links > 0))
+                page.pieces.append((stack[-1][1], block, t, bool(places.get("a"))))
+
+    def last(tags: set[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
-    def find(tags: set[str], stop: set[str] | None, inline: bool = False) -> int:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                return k
-            if (stop and stack[k][0] in stop) or (inline and stack[k][0] not in INLINE):
-                return 0
-        return 0
+    def open_above(tags: set[str], edge: int) -> int:
+        """The place of the last open element of these, 0 if it is not above the edge."""
+        k = last(tags)
+        return k if k > edge else 0
 
-    open_of: dict[str, int] = {}  # how many of each kind are open, so that a stray end tag is not searched for
     while at < size:
         lt = html.find("<", at)
-        m = _TAG.match(html, lt) if lt >= 0 else None
+        m = pattern.match(html, lt) if lt >= 0 else None
         if lt < 0:
             text(at, size)
             break
@@ -92,14 +103,14 @@ def parse(html: str) -> Page:
         text(at, lt)
         at = m.end()
         end, tag = m[1], (m[2] or m[4] or "").lower()
+        if m[4]:  # a quote that doesn't close up to the end is searched for once only
+            pattern = _UNQUOTED
         if end:
             end = end.lower()
             if end == "head":
                 in_head = False
-            k = find({end}, None, end in INLINE) if any(s[0] == end for s in stack[-64:]) or open_of.get(end) else 0
+            k = open_above({end}, blocks[-1] if end in INLINE else 0)
             if k and end not in ("html", "body"):
-                for s in stack[k:]:
-                    open_of[s[0]] = open_of.get(s[0], 1) - 1
                 pop_to(k)
             elif end in ("p", "br"):
                 block += end == "p"
@@ -117,21 +128,15 @@ def parse(html: str) -> Page:
             continue
         if tag in ("html", "body", "head"):
             in_head = tag == "head"
-            if tag == "head" or any(s[0] == tag for s in stack):
+            if tag == "head" or places.get(tag):
                 continue
         elif in_head and tag not in ("meta", "link", "base"):
             in_head = False
-        if tag in CLOSES_P:
-            k = find({"p"}, {"table", "td", "th", "button"}) if open_of.get("p") else 0
-            if k:
-                for s in stack[k:]:
-                    open_of[s[0]] = open_of.get(s[0], 1) - 1
-                pop_to(k)
+        if tag in CLOSES_P and (k := open_above({"p"}, last({"table", "td", "th", "button"}))):
+            pop_to(k)
         if tag in IMPLIED:
             kinds, limits = IMPLIED[tag]
-            while any(open_of.get(x) for x in kinds) and (k := find(kinds, limits)):
-                for s in stack[k:]:
-                    open_of[s[0]] = open_of.get(s[0], 1) - 1
+            while k := open_above(kinds, last(limits)):
                 pop_to(k)
         block += tag not in INLINE and (tag not in VOID or tag == "hr")
         if tag in VOID:
@@ -139,12 +144,9 @@ def parse(html: str) -> Page:
         attrs = attributes(m[3] or m[5] or "")
         inline = tag in INLINE
         own = not inline or bool({"class", "id", "role", "hidden", "aria-hidden", "style"} & attrs.keys())
-        stack.append((tag, page.add(tag, attrs, stack[-1][1]) if own else stack[-1][1]))
-        open_of[tag] = open_of.get(tag, 0) + 1
-        links += tag == "a"
+        push(tag, page.add(tag, attrs, stack[-1][1]) if own else stack[-1][1])
         if (m[3] or "").endswith("/") and inline is False and tag not in CLOSES_P:
-            stack.pop()  # <x/> of an unknown kind
-            open_of[tag] -= 1
+            pop_to(len(stack) - 1, ends=False)  # <x/> of an unknown kind
     return page
 
 

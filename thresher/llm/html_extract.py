@@ -8,7 +8,8 @@ conditional likelihood of labelled pages.
 
 Cases: null or empty html, and html without content, give an empty text. Broken and unclosed markup is read as browsers
 do. A null url stays null; repeated rows get repeated results; an empty table gives an empty result. Very long and very
-deep pages are read whole. Other columns pass through only where they are named.
+deep pages are read whole. White space is what Python's str.split takes for it, no-break spaces included. Other columns
+pass through only where they are named; the text takes the place of a kept column of its name.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import by_row, read
+from .common import map_texts, quoted, read
 from .html_dom import Page, block_texts, parse
 from .html_pages import MARK, labelled_pages
 
@@ -218,13 +220,7 @@ def extract(htmls: list[str], w: Weights) -> list[str]:
 def extract_html(df: DataFrame, keep: tuple[str, ...] = (), html_col: str = "html", text_col: str = "text", weights: Weights | None = None) -> DataFrame:
     """The columns in keep and the main text of each row."""
     w = weights or trained()
-    source = df.select(*keep, F.coalesce(F.col(html_col), F.lit("")).alias("__html"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.select(*keep).schema) + f"`{text_col}` string"
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(extract(b.column(b.num_columns - 1).to_pylist(), w), pa.string())], names=[*keep, text_col])
-
-    return source.mapInArrow(by_row(run, 64), schema)
+    return map_texts(df, keep, F.coalesce(quoted(html_col), F.lit("")), [(text_col, T.StringType())], lambda x: [pa.array(extract(x.to_pylist(), w), pa.string())], rows=64)
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
