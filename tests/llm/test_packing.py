@@ -21,9 +21,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_ids_are_the_library_s(library):
@@ -39,7 +37,7 @@ def test_added_tokens_in_texts(spark):
     t = Tokenizer.from_file(PATH)
     texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "  <|endoftext|>  \n", "<|endoftext|", "<|<|endoftext|>|>", "'<|endoftext|>s", ""]
     want = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
-    assert ByteTokens(PATH, added=True).encode(texts) == want and np.array([50256], "<u4").tobytes() == want[1]
+    assert ByteTokens(PATH).encode(texts) == want and np.array([50256], "<u4").tobytes() == want[1]
     rows = token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()
     assert {r.doc_id: r.ids_crc32 for r in rows} == {k: zlib.crc32(x + bytes(4)) for k, x in enumerate(want)}
 

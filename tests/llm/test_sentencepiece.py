@@ -51,8 +51,10 @@ def test_op3(spark, library):
 
 def test_odd_rows(spark, library):
     rows = [(1, None, "i"), (2, "", "i"), (3, "long word " * 30_000, "i"), (3, "long word " * 30_000, "i"), (None, "x", None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, ids string").withColumnRenamed("ids", "note")
-    got = encode_pieces(df, PATH, ("doc_id", "note")).collect()
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string").selectExpr("*", "1 AS x", "1 AS __text", "1 AS `a.b`")
+    found = encode_pieces(df, PATH, ("doc_id", "ids", "x", "__text", "a.b"))
+    assert found.columns == ["doc_id", "x", "__text", "a.b", "ids", "decoded"]
+    got = found.collect()
     assert len(got) == 5 and all(r.ids == [] and r.decoded == "" for r in got if r.doc_id in (1, 2))
     assert next(r.ids for r in got if r.doc_id == 3) == library.encode("long word " * 30_000)
     assert encode_pieces(df.limit(0), PATH, ("doc_id",)).count() == 0

@@ -6,7 +6,8 @@ others are dealt anew, so that they exchange documents, and are packed again. A
 it was dealt. Only ids and lengths take part, and nothing of a partition reaches the driver but a count.
 
 Cases: a null or empty text is the end token alone. A row is a document even if its id is null or repeated. Only documents
-longer than a sequence are cut. An empty table gives an empty result. Other columns are not looked at.
+longer than a sequence are cut. Ids may be of any simple type. An empty table gives an empty result. Other columns are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_row, checkpoint, read, texts
+from .common import by_row, checkpoint, quoted, read, texts
 
 CAPACITY = 2048
 #: Pieces in a partition on average.
@@ -34,10 +35,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 class ByteTokens:
     """Ids of a byte-level BPE file of the tokenizers library, as little-endian 32-bit numbers. Where its merges are in
     the order of the ids that they make, tiktoken's engine, which merges by rank, gives the same ids in a third of the
-    time; other files are refused. added: the string of an added token in a text is that token, as by the library's default;
-    else it is ordinary text, as with encode_special_tokens."""
+    time; other files are refused. The string of an added token in a text is that token, as by the library's default."""
 
-    def __init__(self, path: str, added: bool = False):
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -49,13 +49,13 @@ class ByteTokens:
         others = [b for b in range(256) if b not in printable]
         byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        if added and any(not t["special"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+        if any(not t["special"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("added tokens are not plain special ones")
         ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in vocab.items() if t not in special}
         for k, m in enumerate(merges):
             if vocab["".join(m.split(" ") if isinstance(m, str) else m)] != 256 + k:
                 raise ValueError("merges are not in the order of ids")
-        self.engine = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
+        self.engine = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, batch: list[str]) -> list[bytes]:
         return [self.engine.encode_to_numpy(t, allowed_special="all").astype("<u4").tobytes() for t in batch]
@@ -63,7 +63,7 @@ class ByteTokens:
 
 @lru_cache(2)
 def tokens(path: str) -> ByteTokens:
-    return ByteTokens(path, added=True)
+    return ByteTokens(path)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -74,7 +74,8 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of all pieces."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
+    kind = source.schema["doc_id"].dataType
     last = np.array([end], "<u4").tobytes()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -83,9 +84,9 @@ def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             ids += last
             rows += [(i, k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])) for k, (at, n) in enumerate(cut(len(ids) // 4, capacity))]
         cols = zip(*rows, strict=True) if rows else [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()], strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()], strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return source.mapInArrow(by_row(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(by_row(run), f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +149,7 @@ def _pack(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 4, part: int = PART) -> DataFrame:
     """pieces (doc_id, piece, start, length, ids_crc32) with sequence_id, offset and certified."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, row long, part long, certified boolean"
+    schema = f"doc_id {pieces.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, row long, part long, certified boolean"
     todo = checkpoint(pieces.withColumns({"row": F.monotonically_increasing_id(), "sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")}))
     done: list[DataFrame] = []
     for k in range(rounds):

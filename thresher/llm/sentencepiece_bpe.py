@@ -6,7 +6,8 @@ symbols are one flat numpy array; each round finds the best pair of each word by
 leftmost places at once where they don't overlap, and compacts, until no pair remains. A text is then a lookup of words.
 
 Cases: a null text is empty and has no ids. Characters outside the vocabulary become byte pieces. Text that looks like a
-control piece stays text. Repeated rows get repeated results, an empty table an empty one. Other columns are not looked at.
+control piece stays text. Texts of any length are encoded whole. Repeated rows get repeated results, an empty table an empty
+one. ids and decoded take the place of kept columns of their names; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import by_row, read, texts
+from .common import map_texts, quoted, read
 
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Words that a worker remembers at most; then it starts anew.
-REMEMBERED = 400_000
+#: Words, and characters of words, that a worker remembers at most between batches; then it starts anew.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 8_000_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -112,6 +114,7 @@ class PieceModel:
             if len(p) == 1:
                 self.codes[ord(p)] = i
         self.known: dict[str, bytes] = {}
+        self.chars = 0
 
     def _pairs(self, sym: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rank, piece made and tied of the pairs that begin at these places."""
@@ -190,9 +193,11 @@ class PieceModel:
 
     def lookup(self, words: list[list[str]]) -> None:
         """Remember the ids of these words."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.known.clear()
+            self.chars = 0
         new = list(set().union(*words).difference(self.known))
+        self.chars += sum(map(len, new))
         for at in range(0, len(new), 100_000):
             some = new[at : at + 100_000]
             self.known.update(zip(some, self.encode_words(some), strict=True))
@@ -205,27 +210,22 @@ def model(path: str) -> PieceModel:
 
 def encode_pieces(df: DataFrame, path: str, keep: tuple[str, ...] = (), text_col: str = "text") -> DataFrame:
     """The columns in keep, with ids (array<int>) and decoded (the text that the ids decode to)."""
-    return _encoded(df, path, keep, text_col, "ids array<int>, decoded string", lambda ids, text: (ids.tolist(), text))
+    made = [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())]
+    return _encoded(df, path, keep, text_col, made, [pa.list_(pa.int32()), pa.string()], lambda ids, text: (ids.tolist(), text))
 
 
-def _encoded(df: DataFrame, path: str, keep: tuple[str, ...], text_col: str, result: str, of) -> DataFrame:
-    source = df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.select(*keep).schema) + result
-    names = [x.split()[0] for x in result.split(", ")]
-    kinds = [{"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[x.split()[1]] for x in result.split(", ")]
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+def _encoded(df: DataFrame, path: str, keep: tuple[str, ...], text_col: str, made: list[tuple[str, T.DataType]], kinds: list[pa.DataType], of) -> DataFrame:
+    def encoded(some: pa.Array) -> list[pa.Array]:
         m = model(path)
-        words = [m.split(t) for t in texts(b, "__text")]
+        words = [m.split(t) for t in some.to_pylist()]
         m.lookup(words)
         rows = []
         for ws in words:
             ids = np.frombuffer(b"".join(map(m.known.__getitem__, ws)), "<i4")
             rows.append(of(ids, m.decode_joined(ids.tolist())))
-        cols = list(zip(*rows, strict=True)) or [()] * len(names)
-        return pa.RecordBatch.from_arrays([*b.columns[:-1], *map(pa.array, cols, kinds)], names=[*keep, *names])
+        return list(map(pa.array, list(zip(*rows, strict=True)) or [()] * len(made), kinds))
 
-    return source.mapInArrow(by_row(run, 256), schema)
+    return map_texts(df, keep, F.coalesce(quoted(text_col), F.lit("")), made, encoded, rows=256)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,5 +235,5 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         return len(ids), hashlib.sha256(",".join(map(decimal.__getitem__, ids.tolist())).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
     decimal = list(map(str, range(32_000)))
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return _encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), ("doc_id",), "text", "n_tokens long, ids_sha256 string, decoded_sha256 string", digests)
+    made = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+    return _encoded(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ("doc_id",), "text", made, [pa.int64(), pa.string(), pa.string()], digests)
