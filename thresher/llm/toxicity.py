@@ -4,14 +4,16 @@ Features of a text are densities per word: hits of a fixed lexicon, plain and af
 second person, hits of fragments that the labelled rows themselves single out (so that languages and spellings which the
 lexicon doesn't know count too), and the rates of capitals, punctuation and obfuscated words. Labels are learned from a
 sample of at most ``max_rows`` labelled rows, chosen by a hash; fragments are counted on the executors, and only the
-sample's dense features reach the driver. Trees are fitted on histograms; their scores, out of fold, are calibrated with
-the pool-adjacent-violators algorithm. Scoring runs over every whole text, in pieces of a batch, with a model of fixed
-size.
+sample's dense features reach the driver. Trees are fitted on histograms. Their scores out of fold, where neither the trees
+nor the choice of fragments has seen the rows of the fold or texts equal to them, are calibrated with the
+pool-adjacent-violators algorithm. A score is read from the line through the middles of the calibrated steps; beyond the
+first and the last all scores are those of the step and tie. Scoring passes once over the words of every whole text and
+once over its characters for all fragments, in pieces of a batch, with a model of fixed size.
 
 Cases: a null or empty text has features of zero and gets the score that the model gives them. Rows with a null label or
 a label other than 0 and 1 are not learned from; a row with several labels counts each. Without labels of both kinds the
 score is the share of the label that there is, or 0. Repeated rows get repeated scores, equal texts equal ones. An empty
-table gives an empty result. Other columns are not looked at.
+table gives an empty result. The score takes the place of a kept column of its name; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -20,14 +22,16 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_row, checkpoint, read, texts
+from .common import by_row, checkpoint, map_texts, quoted, read, texts
 
 #: Labelled rows that are learned from at most.
 MAX_ROWS = 20_000
@@ -36,45 +40,115 @@ GRAM_ROWS = 4_000
 #: Fragments that become features of their own.
 GRAMS = 48
 SIZES = (5, 6, 7)
+FOLDS = 5
 #: Sums that a worker holds before it hands them on.
 HELD = 200_000
-INSULTS = (
-    "idiot idiots moron morons stupid dumb fool fools loser losers scum trash garbage filth pathetic worthless disgusting clown clowns imbecile jerk creep freak "
-    "pig pigs rat rats vermin parasite coward liar ugly hate hateful shut kill die crap damn hell bastard bitch ass asshole shit fuck fucking sucks "
-    "dumm idioten trottel abschaum versager widerlich arschloch imbécile crétin ordures nul salaud idiota estúpido basura asco imbécil"
-).split()
-SECOND = re.compile(r"\b(?:you|your|yours|yourself|u|ur|du|dich|dein|ihr|tu|te|toi|vous|ton|tes|usted|tú|ti)\b")
-_INSULT = re.compile(r"\b(?:" + "|".join(sorted(INSULTS, key=len, reverse=True)) + r")\b")
-_MIXED = re.compile(r"[^\W\d_][0-9@$*!|+]+[^\W\d_]")
-_SPACED = re.compile(r"\b(?:[^\W\d_][ .*_-]){3,}[^\W\d_]\b")
-_LEET = str.maketrans("013457@$!|+", "oieastasiit", "*_-.'")
-NEAR = 60
-FIXED = ("insults", "undone", "near_you", "shouted", "mixed", "spaced", "capitals", "punctuation", "exclamation", "odd_marks", "digits", "word_length", "distinct", "log_words")
-
-
-def fixed_features(text: str, low: str, words: list[str]) -> list[float]:
-    n = max(1, len(words))
-    hits = [m.start() for m in _INSULT.finditer(low)]
-    near = sum(bool(SECOND.search(low, max(0, at - NEAR), at + NEAR)) for at in hits)
-    shouted = sum(text[at : at + 4].isupper() for at in hits) if len(text) == len(low) else 0
-    mixed = _MIXED.findall(low)
-    undone = len(_INSULT.findall(low.translate(_LEET))) if mixed or "*" in low or "@" in low or "$" in low else len(hits)
+#: Common insults of four languages, written down without looking at labelled rows.
+LEXICON = {
+    "en": frozenset((
+        "arse arsehole ass asshole assholes bastard bastards bitch bitches blockhead bonehead bozo brainless bullshit buffoon clown clowns coward cowards crap creep creeps cretin crybaby damn "
+        "degenerate degenerates dickhead dimwit dirtbag disgrace disgusting dope dork douche douchebag dumb dumbass dumbest dunce faggot failure fatso filth filthy fool fools freak freaks fuck fucked "
+        "fucker fucking garbage goon halfwit hate hypocrite idiot idiotic idiots ignorant imbecile imbeciles incompetent inferior jackass jerk jerks kill lame liar liars loser losers lowlife lunatic "
+        "maggot maniac moron moronic morons motherfucker nasty nincompoop numbskull nutjob oaf parasite parasites pathetic pervert pig pigs piss prick psycho rat rats repulsive retard retarded "
+        "rubbish savage savages scum scumbag shit shithead shitty sicko simpleton slob slut stupid stupidity snake sucks swine thug thugs trash trashy traitor twat twit ugly useless vermin vile wanker weakling weirdo "
+        "whore wimp worthless wretch"
+    ).split()),
+    "de": frozenset((
+        "abschaum affe arsch arschloch bastarde blödmann blöde blöd depp deppen drecksack dreckig dumm dumme dummkopf dämlich ekelhaft fresse hackfresse hirnlos hurensohn hässlich idioten idiotin "
+        "lügner lächerlich missgeburt mistkerl miststück müll nichtsnutz penner pfui sau saudumm scheisse scheiße scheiß schlampe schwachkopf schwachsinnig schwein schweine spinner trottel versager "
+        "vollidiot wertlos wichser widerlich"
+    ).split()),
+    "fr": frozenset((
+        "abruti abrutie abrutis bouffon bouffonne clébard conard connard connards connasse conne crétin crétine crétins dégage dégueulasse débile débiles enculé enfoiré foutre idiote imbécile "
+        "imbéciles lâche mensonge menteur merde merdeux minable minables misérable moche nul nulle nuls ordure ordures pathétique pourri pourriture pute racaille raté ratés salaud salauds salope "
+        "saloperie stupide taré tarés gueule vermine"
+    ).split()),
+    "es": frozenset((
+        "asco asqueroso asquerosa basura bobo boba burro cabrón cabrones callate cerdo cerdos cobarde cretino cretinos estúpida estúpidas estúpido estúpidos fracasado fracasados feo gilipollas "
+        "hijoputa idiotas imbécil imbéciles inútil inútiles inepto ladrón maldita maldito marica mentiroso mierda miserable patético pendejo pendejos perdedor perra puta puto rata ratas repugnante "
+        "ridículo sucio tarado tonta tonto tontos zorra"
+    ).split()),
+}
+INSULTS = frozenset().union(*LEXICON.values())
+SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch euer tu te toi vous ton tes ta votre vos usted ustedes tú ti tus vosotros eres".split())
+_WORD = re.compile(r"[\w@$*|+]+(?:!+[\w@$*|+]+)*")
+_LEET = str.maketrans("013457@$!|+", "oieastasiit")
+#: Words between an insult and a second person at most.
+NEAR = 8
+FIXED = (*(f"insults_{x}" for x in LEXICON), "insults", "undone", "near_you", "shouted", "mixed", "spaced", "capitals", "punctuation", "exclamation", "odd_marks", "digits", "word_length", "distinct", "log_words")
+
+
+@lru_cache(20_000)
+def undone(word: str) -> bool:
+    """Is the word, which isn't all letters, an insult whose letters were replaced (by digits and signs, or by stars)?"""
+    plain = word.translate(_LEET)
+    if plain in INSULTS or plain.replace("_", "") in INSULTS:
+        return True
+    if "*" not in plain or sum(map(str.isalpha, plain)) < 2:
+        return False
+    hidden = re.compile(re.escape(plain).replace("\\*", "."))
+    return any(hidden.fullmatch(x) for x in INSULTS)
+
+
+def spaced_out(words: list[str]) -> int:
+    """Runs of four single letters or more."""
+    runs = now = 0
+    for w in words:
+        now = now + 1 if len(w) == 1 and w.isalpha() else 0
+        runs += now == 4
+    return runs
+
+
+def fixed_features(text: str, low: str) -> list[float]:
+    words = _WORD.findall(low)
+    n, kinds = max(1, len(words)), Counter(words)
+    met = kinds.keys() & INSULTS
+    hits = sum(kinds[w] for w in met)
+    odd_words = [w for w in kinds if not w.isalpha()]
+    mixed = sum(kinds[w] for w in odd_words if w[0].isalpha() and w[-1].isalpha() and not w.replace("_", "").isalpha())
+    more = sum(kinds[w] for w in odd_words if not w.isdigit() and undone(w))
+    near = shouted = 0
+    if hits:
+        at = [k for k, w in enumerate(words) if w in INSULTS]
+        you = np.array([k for k, w in enumerate(words) if w in SECOND] or [-1 << 40])
+        where = np.searchsorted(you, at)
+        near = sum(min(abs(you[min(i, len(you) - 1)] - k), abs(k - you[max(i - 1, 0)])) <= NEAR for i, k in zip(where, at, strict=True))
+        own = _WORD.findall(text)
+        shouted = sum(own[k].isupper() for k in at) if len(own) == len(words) else 0
+    spaced = spaced_out(words) if sum(c for w, c in kinds.items() if len(w) == 1) > 3 else 0
     count = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
     letters = max(1, int(count[65:91].sum() + count[97:123].sum() + count[0xC0:].sum()))
     marks = int(count[33:48].sum() + count[58:65].sum() + count[91:97].sum() + count[123:127].sum())
     odd = int(count[[35, 36, 37, 38, 42, 64, 94, 124, 126]].sum())
     return [
-        len(hits) / n, undone / n, near / n, shouted / n, len(mixed) / n, len(_SPACED.findall(low)) / n, int(count[65:91].sum()) / letters, marks / n, int(count[33]) / n, odd / n,
-        int(count[48:58].sum()) / n, letters / n, len(set(words)) / n, float(np.log1p(len(words))),
+        *(sum(kinds[w] for w in met & some) / n for some in LEXICON.values()), hits / n, (hits + more) / n, near / n, shouted / n, mixed / n, spaced / n, int(count[65:91].sum()) / letters, marks / n, int(count[33]) / n, odd / n,
+        int(count[48:58].sum()) / n, letters / n, len(kinds) / n, float(np.log1p(len(words))),
     ]
 
 
-def features(text: str, grams: list[str]) -> list[float]:
+@lru_cache(16)
+def _finder(grams: tuple[str, ...]) -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for k, g in enumerate(grams):
+        found.add_word(g, k)
+    found.make_automaton()
+    return found
+
+
+def gram_counts(low: str, grams: tuple[str, ...]) -> list[int]:
+    """How often each fragment is in the text, places that overlap included."""
+    out = [0] * len(grams)
+    if grams:
+        for _, k in _finder(grams).iter(low):
+            out[k] += 1
+    return out
+
+
+def features(text: str, grams: tuple[str, ...]) -> list[float]:
+    """The fixed features and the density of each fragment; Model.columns takes from these what a model looks at."""
     low = text.lower()
-    words = low.split()
-    n = max(1, len(words))
-    own = [low.count(g) / n for g in grams]
-    return [*fixed_features(text, low, words), *own, sum(own)]
+    n = max(1, len(low.split()))
+    return [*fixed_features(text, low), *(c / n for c in gram_counts(low, grams))]
 
 
 def fragments(text: str) -> dict[str, int]:
@@ -90,22 +164,23 @@ def fragments(text: str) -> dict[str, int]:
     return out
 
 
-def fragment_sums(docs: DataFrame) -> DataFrame:
-    """gram, label, n, s, q: for rows (text, label), in how many a fragment is, and sums of its density and its square."""
+def _per_fold(docs: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+    """gram, and for each fold n, s and q: in how many rows (text, fold) a fragment is, and sums of its density and its
+    square. keep: fragments (gram) that alone are looked at."""
 
     def out(sums: dict[tuple[str, int], list[float]]) -> pa.RecordBatch:
         vals = zip(*sums.values(), strict=True) if sums else ((), (), ())
-        cols = [pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int32()), *(pa.array(v, t) for v, t in zip(vals, [pa.int64(), pa.float64(), pa.float64()], strict=True))]
-        return pa.RecordBatch.from_arrays(cols, names=["gram", "label", "n", "s", "q"])
+        cols = [pa.array([k[i] for k in sums], t) for i, t in enumerate([pa.string(), pa.int32()])]
+        return pa.RecordBatch.from_arrays([*cols, *(pa.array(v, t) for v, t in zip(vals, [pa.int64(), pa.float64(), pa.float64()], strict=True))], names=["gram", "fold", "n", "s", "q"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, int], list[float]] = {}
         for b in batches:
             for i in range(b.num_rows):
-                t, y = b.column(0)[i].as_py() or "", b.column(1)[i].as_py()
+                t, fold = (b.column(c)[i].as_py() for c in range(2))
                 n = max(1, len(t.split()))
                 for g, c in fragments(t).items():
-                    x = sums.setdefault((g, y), [0, 0.0, 0.0])
+                    x = sums.setdefault((g, fold), [0, 0.0, 0.0])
                     x[0] += 1
                     x[1] += c / n
                     x[2] += (c / n) ** 2
@@ -114,22 +189,35 @@ def fragment_sums(docs: DataFrame) -> DataFrame:
                     sums = {}
         yield out(sums)
 
-    return docs.select("text", "label").mapInArrow(run, "gram string, label int, n long, s double, q double").groupBy("gram", "label").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    found = docs.select("text", "fold").mapInArrow(run, "gram string, fold int, n long, s double, q double")
+    if keep is not None:
+        found = found.join(F.broadcast(keep), "gram", "left_semi")
+    return found.groupBy("gram").agg(*(F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in range(FOLDS) for c in "nsq"))
+
 
+def fragment_sums(sample: DataFrame) -> DataFrame:
+    """gram, and for labels 1 and 0 and each fold the sums of _per_fold as columns like n1_0. Only fragments of three rows
+    of label 1 or more: as the sample is bounded, so are these, and they are broadcast to the rows of label 0."""
+    named = lambda x, y: x.toDF(*(f"{c[0]}{y}_{c[1:]}" if c != "gram" else c for c in x.columns))
+    ones = _per_fold(sample.where("label = 1"))
+    ones = checkpoint(ones.where(sum(F.col(f"n{k}") for k in range(FOLDS)) >= 3).coalesce(8))
+    zeros = _per_fold(sample.where("label = 0"), ones.select("gram"))
+    return checkpoint(named(ones, 1).join(named(zeros, 0), "gram", "left").na.fill(0).coalesce(8))
 
-def choose_grams(sums: DataFrame, n1: int, n0: int, count: int = GRAMS) -> list[str]:
-    """The fragments whose densities tell the labels apart best, by Welch's t; of fragments one of which contains the
-    other, the better."""
-    on = lambda y, c: F.sum(F.when(F.col("label") == y, F.col(c)).otherwise(0.0))
-    t = sums.groupBy("gram").agg(*(on(y, c).alias(f"{c}{y}") for y in (0, 1) for c in "nsq")).where(F.col("n1") >= max(3, n1 // 100))
+
+def choose_grams(sums: DataFrame, without: int, n1: int, n0: int, count: int = GRAMS) -> tuple[str, ...]:
+    """The fragments whose densities tell the labels apart best in all folds but one, by Welch's t; of fragments one of
+    which contains the other, the better."""
+    total = lambda c: sum(F.col(f"{c}_{k}") for k in range(FOLDS) if k != without)
+    t = sums.select("gram", *(total(f"{c}{y}").alias(f"{c}{y}") for c in "nsq" for y in (0, 1))).where(F.col("n1") >= max(3, n1 // 100))
     m1, m0 = F.col("s1") / n1, F.col("s0") / n0
     var = (F.col("q1") / n1 - m1 * m1) / n1 + (F.col("q0") / n0 - m0 * m0) / n0
-    best = t.withColumn("t", (m1 - m0) / F.sqrt(F.greatest(var, F.lit(1e-18)))).where("t > 3").orderBy(F.desc(F.round("t", 1)), F.desc(F.length("gram")), "gram").limit(40 * count).collect()
+    best = t.withColumn("t", (m1 - m0) / F.sqrt(F.greatest(var, F.lit(1e-18)))).where("t > 3").orderBy(F.desc(F.round("t", 1)), F.desc(F.length("gram")), "gram").limit(40 * count).select("gram").collect()
     out: list[str] = []
     for r in best:
         if len(out) < count and not any(g in r.gram or r.gram in g for g in out):
             out.append(r.gram)
-    return out
+    return tuple(out)
 
 
 @dataclass
@@ -202,9 +290,16 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([s / n for _, n, s in blocks]), np.array([v / n for v, n, _ in blocks])
 
 
+def columns(grams: tuple[str, ...], own: tuple[str, ...], x: np.ndarray) -> np.ndarray:
+    """Of features with the densities of grams those that a model with own fragments looks at, and the sum of these."""
+    place = {g: k for k, g in enumerate(grams)}
+    dense = x[:, [len(FIXED) + place[g] for g in own]]
+    return np.concatenate([x[:, : len(FIXED)], dense, dense.sum(1, keepdims=True)], 1)
+
+
 @dataclass
 class Model:
-    grams: list[str]
+    grams: tuple[str, ...]
     trees: Trees
     knots: tuple[np.ndarray, np.ndarray]
     share: float | None = None  # of label 1, where there is nothing to learn
@@ -214,51 +309,58 @@ class Model:
             return np.full(len(some), self.share)
         if not some:
             return np.empty(0)
-        margin = self.trees.margin(np.array([features(t, self.grams) for t in some]))
-        # A calibrated step is flat: a little of the margin keeps the order within it, and the range.
-        return np.clip(0.98 * np.interp(margin, *self.knots) + 0.02 / (1 + np.exp(-margin)), 0, 1)
-
-
-def fit(x: np.ndarray, y: np.ndarray, grams: list[str], folds: int = 5, seed: int = 7) -> Model:
-    fold = np.random.default_rng(seed).permutation(len(y)) % folds
-    out = np.empty(len(y))
-    for k in range(folds):
-        out[fold == k] = fit_trees(x[fold != k], y[fold != k]).margin(x[fold == k])
-    return Model(grams, fit_trees(x, y), isotonic(out, y))
+        x = np.array([features(t, self.grams) for t in some])
+        return np.interp(self.trees.margin(columns(self.grams, self.grams, x)), *self.knots)
+
+
+def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray, grams: tuple[str, ...], chosen: list[tuple[str, ...]]) -> Model:
+    """x: features with the densities of grams; chosen: the fragments of each fold, chosen without it, and last those of all
+    rows."""
+    out = np.full(len(y), np.nan)
+    for k in np.unique(fold):
+        mine, rest = fold == k, fold != k
+        if len(np.unique(y[rest])) == 2:
+            seen = columns(grams, chosen[k], x)
+            out[mine] = fit_trees(seen[rest], y[rest]).margin(seen[mine])
+    trees = fit_trees(columns(grams, chosen[-1], x), y)
+    known = ~np.isnan(out)
+    if len(np.unique(y[known])) < 2:  # equal texts alone: nothing is out of fold
+        out, known = trees.margin(columns(grams, chosen[-1], x)), np.ones(len(y), bool)
+    return Model(chosen[-1], trees, isotonic(out[known], y[known]))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, gram_rows: int = GRAM_ROWS) -> Model:
     """docs: id and text; labels: id and label. The sample is the labelled rows with the least hashes of
     their ids; the first gram_rows of them choose the fragments."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    label = quoted(label_col)
+    known = labels.where(label.isin(0, 1) & quoted(id_col).isNotNull()).select(quoted(id_col).alias("id"), label.cast("int").alias("label"))
     # A bounded number of ids and labels, ordered by hash: it is made once, so every use sees the same sample.
     rows = known.orderBy(F.xxhash64("id"), "id", "label").limit(max_rows).collect()
-    some = docs.sparkSession.createDataFrame([(r.id, r.label, k < gram_rows) for k, r in enumerate(rows)], T.StructType([T.StructField("__id", known.schema["id"].dataType), T.StructField("label", T.IntegerType()), T.StructField("first", T.BooleanType())]))
-    sample = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(some), "__id").select("text", "label", "first")
-    sample = checkpoint(sample)
-    n = {r.label: (r.n, r.g) for r in sample.groupBy("label").agg(F.count("*").alias("n"), F.count_if("first").alias("g")).collect()}
-    if len(n) < 2:
-        return Model([], Trees(), (np.zeros(1), np.zeros(1)), float(next(iter(n), 0)))
-    chosen = choose_grams(fragment_sums(sample.where("first")), n[1][1], n[0][1]) if n[1][1] and n[0][1] else []
+    some = docs.sparkSession.createDataFrame([(r.id, r.label, k < gram_rows) for k, r in enumerate(rows)], T.StructType([T.StructField("id", known.schema["id"].dataType), T.StructField("label", T.IntegerType()), T.StructField("first", T.BooleanType())]))
+    sample = docs.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col), F.lit("")).alias("text")).join(F.broadcast(some), "id").select("text", "label", "first")
+    # Equal texts are in one fold.
+    sample = checkpoint(sample.withColumn("fold", F.pmod(F.xxhash64(F.lower("text")), F.lit(FOLDS)).cast("int")))
+    n = {(r.label, r.fold): (r.n, r.g) for r in sample.groupBy("label", "fold").agg(F.count("*").alias("n"), F.count_if("first").alias("g")).collect()}
+    if len({label for label, _ in n}) < 2:
+        return Model((), Trees(), (np.zeros(1), np.zeros(1)), float(next((label for label, _ in n), 0)))
+    sums, chosen = fragment_sums(sample.where("first")), []
+    for k in range(FOLDS + 1):  # last: of all rows
+        n1, n0 = (sum(g for (a, f), (_, g) in n.items() if a == label and f != k) for label in (1, 0))
+        chosen.append(choose_grams(sums, k, n1, n0) if n1 and n0 else ())
+    grams = tuple(sorted(set().union(*chosen)))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column(1), pa.array([features(t, chosen) for t in texts(b)], pa.list_(pa.float64()))], names=["label", "x"])
+        return pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([np.array(features(t, grams)).tobytes() for t in texts(b)], pa.binary())], names=["label", "fold", "x"])
 
-    rows = sample.select("text", "label").mapInArrow(by_row(run, 64), "label int, x array<double>").toArrow()
-    x = np.array(rows.column("x").to_pylist())
-    order = np.lexsort(x.T)  # the rows come in any order; the fit must not depend on it
-    return fit(x[order], rows.column("label").to_numpy()[order].astype(float), chosen)
+    rows = sample.select("text", "label", "fold").mapInArrow(by_row(run, 64), "label int, fold int, x binary").toArrow()
+    x, y, fold = np.frombuffer(b"".join(rows.column("x").to_pylist())).reshape(rows.num_rows, -1), rows.column("label").to_numpy().astype(float), rows.column("fold").to_numpy()
+    order = np.lexsort((*x.T, y, fold))  # the rows come in any order; the fit must not depend on it
+    return fit(x[order], y[order], fold[order], grams, chosen)
 
 
 def score_texts(df: DataFrame, model: Model, keep: tuple[str, ...] = (), text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The columns in keep and the score of each row."""
-    source = df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.select(*keep).schema) + f"`{score_col}` double"
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(texts(b, "__text")), pa.float64())], names=[*keep, score_col])
-
-    return source.mapInArrow(by_row(run, 256), schema)
+    return map_texts(df, keep, F.coalesce(quoted(text_col), F.lit("")), [(score_col, T.DoubleType())], lambda x: [pa.array(model.score(x.to_pylist()), pa.float64())], rows=256)
 
 
 def learned_from(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
