@@ -2,7 +2,8 @@
 
 Every round rewrites the edges towards the smallest neighbour; it stops when the edges no longer change, and are then a
 star around the smallest node of each component. A round emits at most two rows an edge, minima are partly aggregated
-before the shuffle, and the lineage is cut by a checkpoint, so neither a hub nor a lost executor is a danger.
+before the shuffle, a join can split the edges of a hub, and the lineage is cut by checkpoints, so a lost executor costs
+only its own tasks.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     before = _mark(now)
     while before[0]:
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Grouped by a struct, so that the partitions of the groups don't serve the join too: adaptive execution splits a
+        # hub's edges only between two plain shuffles. Merged, so that no list of nodes is broadcast through the driver.
+        least = both.groupBy(F.struct("u").alias("g")).agg(F.min("v").alias("m")).select("g.u", "m").select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = checkpoint(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy(F.struct("u").alias("g")).agg(F.min("v").alias("m")).select("g.u", "m")
+        small = large.join(least.hint("merge"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = checkpoint(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         after = _mark(now)
         if after == before:

@@ -1,8 +1,13 @@
 """SimHash near-duplicate detection over pigeonhole blocks.
 
-A fingerprint of one or more 64-bit words is cut into blocks; a key is the content of some of the blocks. With all
-combinations of ``blocks - max_distance`` blocks, fingerprints of at most max_distance differing bits are sure to share a
-key (pigeonhole); fingerprints too wide for that take ``tables`` combinations, which find a pair with known probability.
+A 64-bit fingerprint is cut into blocks; a key is the content of some of the blocks. With all combinations of
+``blocks - max_distance`` blocks, fingerprints of at most max_distance differing bits are sure to share a key (pigeonhole).
+For a similarity of sets of shingles, which many differing bits go with, the blocks are words of their own: a hash deals the
+shingles of a set to parts, and each part has a SimHash of 64 bits. The few shingles in which two similar sets differ touch
+few parts, so the words of the others are equal. There are about 57 words, a number that grows with neither the corpus
+nor the text, and a pair at the similarity shares none with a chance of 1e-9. A distance of wide fingerprints (512 bits,
+which a pair exceeds as seldom) makes clusters, in which the exact Jaccard similarity of the sets then decides.
+
 Equal fingerprints are one node first, so groups of copies of any size are one row from there on. Nodes are joined on
 keys, and Hamming distances are verified bucket by bucket with numpy. Of a small bucket all links are reported; in a
 larger one a search spreads from node to node and reports one link for each node it reaches, so a cluster of n nodes
@@ -11,27 +16,28 @@ are dealt into chunks, and each pair of chunks is one task of bounded memory; no
 
 Cases: a null text is empty; a text without words has the fingerprint zero and links like any other. A null id is
 ignored where the smallest is taken, a group of null ids alone has a null component. Repeated rows are copies. Very long
-texts are hashed whole, in pieces. An empty table gives an empty result. Other columns are not looked at.
+texts are hashed whole, in pieces. An empty table gives an empty result. Ids may be of any type that has an order. Other
+columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-import random
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 from hashlib import md5
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import by_row, checkpoint, read, without_rows
+from .common import by_row, checkpoint, quoted, read, without_rows
 from .components import components
 
 LANES = np.uint64(0x0101010101010101)
@@ -42,6 +48,15 @@ CHUNK = 16_384
 #: A key that more than one node in so many has is hot.
 HOT_SHARE = 256
 PIECE = 4096
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Chance that a pair at the similarity shares no word of a part; the distance may miss a pair as seldom.
+MISS = 1e-9
+#: Nodes and bytes of sets that one task compares at most with as many others (a single set may be larger).
+SET_NODES, SET_BYTES = 4096, 8 << 20
+#: Digests of texts (32 bytes a row) that are broadcast at most; beyond, the texts are shuffled.
+BROADCAST_TEXTS = 250_000
+#: Shingles in a part on average, of the largest sets of a class.
+PER_PART = 5
 
 
 @dataclass(frozen=True)
@@ -53,9 +68,8 @@ class Scheme:
     max_distance: int = 4
     blocks: int = 6
     together: int = 2  # blocks in a key
-    tables: int | None = None  # None: all combinations
     distinct: bool = False  # count a shingle once
-    first_distance: int | None = None  # bits of the first word that may differ; None: max_distance
+    similarity: float | None = None  # of sets of shingles: keys are words of parts, not blocks
 
     @cached_property
     def edges(self) -> list[int]:
@@ -63,14 +77,9 @@ class Scheme:
 
     @cached_property
     def keys(self) -> list[tuple[int, ...]]:
-        if self.tables is None:
-            if self.together > self.blocks - self.max_distance:
-                raise ValueError(f"{self.blocks} blocks and {self.max_distance} differing bits leave {self.blocks - self.max_distance} sure blocks, not {self.together}")
-            return list(itertools.combinations(range(self.blocks), self.together))
-        rng, found = random.Random(self.blocks), {}
-        while len(found) < self.tables:
-            found[tuple(sorted(rng.sample(range(self.blocks), self.together)))] = None
-        return list(found)
+        if self.together > self.blocks - self.max_distance:
+            raise ValueError(f"{self.blocks} blocks and {self.max_distance} differing bits leave {self.blocks - self.max_distance} sure blocks, not {self.together}")
+        return list(itertools.combinations(range(self.blocks), self.together))
 
 
 def exact_scheme(nodes: int, shingle: int = 4, max_distance: int = 4) -> Scheme:
@@ -82,19 +91,6 @@ def exact_scheme(nodes: int, shingle: int = 4, max_distance: int = 4) -> Scheme:
             return Scheme(shingle=shingle, max_distance=max_distance, blocks=blocks, together=more)
 
 
-def similar_scheme(nodes: int, similarity: float = 0.8, shingle: int = 5, words: int = 16, recall: float = 0.99) -> Scheme:
-    """Wide fingerprints for a Jaccard similarity of the sets of shingles. Sets of that similarity have a cosine of at
-    least 2j / (1 + j), so a bit differs with probability p = acos(cosine) / pi; the threshold is the expectation plus
-    one standard error; of the first word, by which buckets are sifted, the expectation plus 3.2. Keys have 24 bits, and from a million nodes on four more than it takes to number the nodes, so
-    that unrelated ones seldom meet; there are so many keys that a pair at the threshold shares one with the given
-    probability."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    n = 64 * words
-    together = max(6, -(-(max(nodes, 1).bit_length() + 4) // 4))
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** (4 * together)))
-    return Scheme(shingle=shingle, words=words, max_distance=round(n * p + math.sqrt(n * p * (1 - p))), blocks=n // 4, together=together, tables=tables, distinct=True, first_distance=math.ceil(64 * p + 3.2 * math.sqrt(64 * p * (1 - p))))
-
-
 def worst_difference(similarity: float) -> float:
     """The largest probability that a bit differs between two sets of at least that similarity. In large sets it is
     acos(2j / (1 + j)) / pi; in small ones ties, which become 0, can make it larger, so those are counted out."""
@@ -110,16 +106,62 @@ def worst_difference(similarity: float) -> float:
     return worst
 
 
-def candidate_scheme(nodes: int, similarity: float = 0.8, shingle: int = 5, words: int = 16, recall: float = 0.99) -> Scheme:
-    """Wide fingerprints that propose pairs of a Jaccard similarity; each pair is verified by its shingles. A pair of the
-    similarity or more, however short, shares a key, is in the distance and has its first word in the distance with a
-    chance of at least recall: each of the three may miss a third of what is left. Keys have two bits more than it takes to number the nodes, 20 at least."""
-    p, miss = worst_difference(similarity), (1 - recall) / 3
-    far = NormalDist().inv_cdf(1 - miss)
-    within = lambda n: math.ceil(n * p + far * math.sqrt(n * p * (1 - p)) + 0.5)
-    together = max(5, -(-(max(nodes, 1).bit_length() + 2) // 4))
-    tables = math.ceil(math.log(miss) / math.log(1 - (1 - p) ** (4 * together)))
-    return Scheme(shingle=shingle, words=words, max_distance=within(64 * words), blocks=16 * words, together=together, tables=tables, distinct=True, first_distance=within(64))
+def similar_scheme(similarity: float = 0.8, shingle: int = 5, words: int = 8) -> Scheme:
+    """Wide fingerprints and words of parts for a Jaccard similarity of the sets of shingles."""
+    p, n = worst_difference(similarity), 64 * words
+    return Scheme(shingle=shingle, words=words, max_distance=math.ceil(n * p - NormalDist().inv_cdf(MISS) * math.sqrt(n * p * (1 - p)) + 0.5), distinct=True, similarity=similarity)
+
+
+def _least_size(similarity: float) -> int:
+    """The smallest set that a different one can be similar to."""
+    return math.ceil(similarity / (1 - similarity) - 1e-9)
+
+
+@lru_cache(512)
+def dealing(k: int, similarity: float) -> tuple[int, int]:
+    """Into how many parts sets of class k are dealt, and how many words they get. Two sets of n that are just similar
+    differ in at most ``apart`` shingles, which leave a part alone, with two shingles of both or more, with a chance of
+    q; it is so in none of the words with a chance of at most MISS."""
+    least = _least_size(similarity)
+    lo, hi = max(least, math.ceil(similarity * (least << k) - 1e-9)), (least << k + 1) - 1
+    m, q = max(2, round((hi + 1) / PER_PART)), 1.0
+    for n in sorted({lo + (hi - lo) * t // 64 for t in range(65)}):
+        apart = math.floor(2 * n * (1 - similarity) / (1 + similarity) + 1e-9)
+        both, left = n - apart // 2, 1 - 1 / m
+        q = min(q, left**apart * (1 - left**both - both / m * left ** (both - 1)))
+    return m, math.ceil(math.log(MISS) / math.log1p(-q))
+
+
+def part_words(h: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of the words of a set of shingle hashes (distinct). Classes of sizes are twice as wide each time; a set at the
+    upper end of its class also gets the words of the next, so that similar sets always have a class in common."""
+    least, n, out = _least_size(similarity), len(h), []
+    if n < least:
+        return np.empty(0, np.uint64)
+    own = (n // least).bit_length() - 1
+    for k in (own, own + 1):
+        if k > own and n < similarity * (least << k) - 1e-9:
+            break
+        m, count = dealing(k, similarity)
+        rounds = np.arange(-(-count // m), dtype=np.uint64)
+        part = (_scramble(h + (rounds[:, None] + np.uint64(1)) * GOLDEN) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
+        word = (part + rounds[:, None] * np.uint64(m)).reshape(-1).astype(np.int64)
+        at = np.flatnonzero(word < count)
+        at = at[np.argsort(word[at], kind="stable")]
+        word = word[at]
+        starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        sizes = np.diff(np.r_[starts, len(word)])
+        bits = np.unpackbits(h[at % n].view(np.uint8).reshape(-1, 8), axis=1)
+        made = np.packbits(2 * np.add.reduceat(bits, starts, axis=0, dtype=np.uint32) > sizes[:, None], axis=1).view(np.uint64)[:, 0]
+        key = _scramble(made ^ _scramble((word[starts].astype(np.uint64) + np.uint64(1)) * GOLDEN + np.uint64(k)))
+        out.append(key[sizes > 1])
+    return np.concatenate(out)
+
+
+def _scramble(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
 
 def _mix(h: np.ndarray, words: int) -> np.ndarray:
@@ -127,10 +169,7 @@ def _mix(h: np.ndarray, words: int) -> np.ndarray:
     out = np.empty((len(h), words), np.uint64)
     out[:, 0] = h
     if words > 1:
-        z = h[:, None] + np.uint64(0x9E3779B97F4A7C15) * np.arange(1, words, dtype=np.uint64)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out[:, 1:] = z ^ (z >> np.uint64(31))
+        out[:, 1:] = _scramble(h[:, None] + GOLDEN * np.arange(1, words, dtype=np.uint64))
     return out
 
 
@@ -161,11 +200,13 @@ def shingle_hashes(text: bytes, k: int) -> np.ndarray:
     return np.fromiter((h(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), stops.tolist(), strict=True)), np.uint64, n)
 
 
+def _print(h: np.ndarray, words: int) -> bytes:
+    return np.packbits(2 * _counts(h, words) > len(h), axis=1, bitorder="little")[:, ::-1].tobytes()
+
+
 def fingerprint(text: bytes, s: Scheme) -> bytes:
     h = shingle_hashes(text, s.shingle)
-    if s.distinct:
-        h = np.unique(h)
-    return np.packbits(2 * _counts(h, s.words) > len(h), axis=1, bitorder="little")[:, ::-1].tobytes()
+    return _print(np.unique(h) if s.distinct else h, s.words)
 
 
 def shingle_set(text: bytes, k: int) -> bytes:
@@ -174,18 +215,23 @@ def shingle_set(text: bytes, k: int) -> bytes:
 
 
 def fingerprints(docs: DataFrame, s: Scheme, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, digest (MD5 of the text), fp (binary, big-endian words) of each row, and where shingles count once, shingles
-    (MD5 of their set)."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("t"))
+    """id, digest (MD5 of the text), fp (binary, big-endian words) of each row, and for a similarity, shingles (MD5 of
+    their set) and keys (of the words of its parts, 8 bytes each)."""
+    source = docs.select(quoted(id_col).alias("id"), F.encode(F.coalesce(quoted(text_col), F.lit("")), "UTF-8").alias("t"))
+    schema = T.StructType([T.StructField("id", source.schema["id"].dataType), *(T.StructField(c, T.BinaryType()) for c in ["digest", "fp"] + ["shingles", "keys"] * bool(s.similarity))])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ts = b.column(1).to_pylist()
-        cols = {"id": b.column(0), "digest": pa.array([md5(t).digest() for t in ts], pa.binary()), "fp": pa.array([fingerprint(t, s) for t in ts], pa.binary())}
-        if s.distinct:
-            cols["shingles"] = pa.array([md5(shingle_set(t, s.shingle)).digest() for t in ts], pa.binary())
-        return pa.RecordBatch.from_pydict(cols)
+        rows = []
+        for t in b.column(1).to_pylist():
+            if s.similarity:
+                h = np.unique(shingle_hashes(t, s.shingle))
+                rows.append((md5(t).digest(), _print(h, s.words), md5(h.astype("<u8").tobytes()).digest(), part_words(h, s.similarity).tobytes()))
+            else:
+                rows.append((md5(t).digest(), fingerprint(t, s)))
+        cols = list(zip(*rows, strict=True)) or [()] * (len(schema) - 1)
+        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.binary()) for c in cols)], names=schema.names)
 
-    return source.mapInArrow(by_row(run), "id long, digest binary, fp binary" + ", shingles binary" * s.distinct)
+    return source.mapInArrow(by_row(run), schema)
 
 
 def _matrix(column: pa.Array, words: int) -> np.ndarray:
@@ -193,11 +239,12 @@ def _matrix(column: pa.Array, words: int) -> np.ndarray:
 
 
 def block_keys(nodes: DataFrame, s: Scheme, hot: np.ndarray | None = None, only_hot: bool = False) -> DataFrame:
-    """node, key, word (the first of the fingerprint) for each table. A key is a hash of the table's number and the content of its blocks, so a bucket may hold two
-    tables' nodes by accident, which the verified distance puts right. hot: sorted keys to leave out, or to give alone."""
-    combos = s.keys
+    """node, key, word (the first of the fingerprint) for each table, or for each word of a part. A table's key is a hash
+    of its number and the content of its blocks, so a bucket may hold two tables' nodes by accident, which the verified
+    distance puts right. hot: sorted keys to leave out, or to give alone."""
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+    def of_blocks(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        combos = s.keys
         bits = np.unpackbits(_matrix(b.column(1), s.words).view(np.uint8), axis=1, bitorder="little")
         parts = np.zeros((s.blocks, len(bits)), np.uint64)
         for k, (a, z) in enumerate(itertools.pairwise(s.edges)):
@@ -210,14 +257,22 @@ def block_keys(nodes: DataFrame, s: Scheme, hot: np.ndarray | None = None, only_
                 x = (x ^ parts[k]) * np.uint64(0xBF58476D1CE4E5B9)
                 x ^= x >> np.uint64(32)
             keys[:, t] = x
+        return keys.reshape(-1), np.full(len(bits), len(combos))
+
+    def of_parts(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        each = b.column(2).to_pylist()
+        return np.frombuffer(b"".join(each), np.uint64), np.array([len(x) // 8 for x in each], np.int64)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        keys, counts = of_parts(b) if s.similarity else of_blocks(b)
         word = _matrix(b.column(1), s.words)[:, 0].view(np.int64)
-        cols = [np.repeat(b.column(0).to_numpy(), len(combos)), keys.reshape(-1).view(np.int64), np.repeat(word, len(combos))]
+        cols = [np.repeat(b.column(0).to_numpy(), counts), keys.view(np.int64), np.repeat(word, counts)]
         if hot is not None:
             found = hot[np.minimum(np.searchsorted(hot, cols[1]), len(hot) - 1)] == cols[1]
             cols = [c[found == only_hot] for c in cols]
         return pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["node", "key", "word"])
 
-    return nodes.select("node", "fp").mapInArrow(by_row(run, 1024), "node long, key long, word long")
+    return nodes.select("node", "fp", *["keys"] * bool(s.similarity)).mapInArrow(by_row(run, 1024), "node long, key long, word long")
 
 
 def hot_keys(nodes: DataFrame, n: int, s: Scheme) -> np.ndarray:
@@ -263,8 +318,10 @@ def shared_keys(nodes: DataFrame, s: Scheme) -> DataFrame:
     """node, key for keys by which a node may have met one within the distance. Keys meet in one shuffle and are sorted;
     rows of hot keys are known to be shared and stay where they are made."""
     hot = hot_keys(nodes, nodes.count(), s)
-    near = s.max_distance if s.first_distance is None else s.first_distance
+    near = 64 if s.similarity else s.max_distance
     cold = block_keys(nodes, s, hot if len(hot) else None)
+    if s.similarity:
+        cold = cold.withColumn("word", F.lit(0).cast("long"))
     found = cold.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _sifted(batches, near), "node long, key long")
     return found.union(block_keys(nodes, s, hot, only_hot=True).select("node", "key")) if len(hot) else found
 
@@ -308,35 +365,40 @@ def bucket_links(node: np.ndarray, key: np.ndarray, part: np.ndarray, fp: np.nda
     return out
 
 
+def _parts(c: Column) -> Column:
+    """The parts that a node goes to if its group is dealt into c chunks: one for each pair of its own chunk and another."""
+    mine = F.pmod(F.xxhash64("node"), c)
+    return F.when(c == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), c - 1), lambda o: F.least(o, mine) * c + F.greatest(o, mine)))
+
+
 def _met(nodes: DataFrame, s: Scheme, chunk: int) -> DataFrame:
-    """node, key, part, n: buckets of n nodes, dealt into parts that are compared whole."""
+    """node, key, part: buckets, dealt into parts that are compared whole."""
     keys = checkpoint(shared_keys(nodes, s))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"))
-    met = keys.join(sizes, "key").withColumn("c", F.ceil(F.col("n") / F.lit(chunk)).cast("long"))
-    mine = F.pmod(F.xxhash64("node"), F.col("c"))
-    # A bucket of c chunks has a task for each pair of chunks; a node goes to the c tasks of its own chunk.
-    dealt = met.select("node", "key", "n", F.when(F.col("c") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("c") - 1), lambda o: F.least(o, mine) * F.col("c") + F.greatest(o, mine))).alias("parts"))
-    return dealt.select("node", "key", "n", F.explode("parts").alias("part"))
+    # Grouped by a struct, so that the join has shuffles of its own: adaptive execution splits a hot key only between two.
+    large = keys.groupBy(F.struct("key").alias("g")).agg(F.ceil(F.count("*") / F.lit(chunk)).cast("long").alias("c")).where("c > 1").select("g.key", "c")
+    met = keys.join(large, "key", "left").withColumn("c", F.coalesce("c", F.lit(1).cast("long")))
+    return met.select("node", "key", F.explode(_parts(F.col("c"))).alias("part"))
 
 
-def _bucket_pairs(dealt: DataFrame, s: Scheme, find: Callable[..., list[tuple[int, int]]]) -> DataFrame:
-    """a, b: what find makes of whole parts of buckets (node, key, part, fp, root)."""
-    # The number of tasks follows the rows, as shuffle partitions do; buckets are bounded, so none of them is large.
-    dealt = dealt.select("node", "key", "part", "fp", "root").repartition("key", "part").sortWithinPartitions("key", "part")
+def _bucket_pairs(dealt: DataFrame, s: Scheme) -> DataFrame:
+    """a, b: links of whole parts of buckets (node, key, part, fp), as bucket_links has them."""
+    # The number of tasks follows the rows, as shuffle partitions do; buckets are bounded, so none of them is large. In the
+    # order of nodes the searches of many buckets start from the same node and report the same links.
+    dealt = dealt.select("node", "key", "part", "fp").repartition("key", "part").sortWithinPartitions("key", "part", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: list[tuple[np.ndarray, ...]] = []  # what there is so far of the last bucket
 
         def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            links = find(*(np.concatenate(x) for x in zip(*parts, strict=True)), s.max_distance)
+            links = bucket_links(*(np.concatenate(x) for x in zip(*parts, strict=True)), s.max_distance)
             a, b = zip(*links, strict=True) if links else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = (b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), _matrix(b.column(3), s.words), b.column(4).to_numpy())
-            _, key, part, _, _ = cols
+            cols = (b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), _matrix(b.column(3), s.words))
+            _, key, part, _ = cols
             other = np.flatnonzero((key != key[-1]) | (part != part[-1]))
             cut = int(other[-1]) + 1 if len(other) else 0
             if tail and (cut or (tail[0][1][0], tail[0][2][0]) != (key[-1], part[-1])) or cut:
@@ -351,95 +413,114 @@ def _bucket_pairs(dealt: DataFrame, s: Scheme, find: Callable[..., list[tuple[in
 
 def fingerprint_links(nodes: DataFrame, s: Scheme, chunk: int = CHUNK) -> DataFrame:
     """a, b: links between nodes (node long, fp binary) that connect all that lie within the distance."""
-    dealt = _met(nodes, s, chunk).join(nodes.select("node", "fp"), "node").withColumn("root", F.col("node"))
-    return _bucket_pairs(dealt, s, lambda node, key, part, fp, _, most: bucket_links(node, key, part, fp, most))
+    return _bucket_pairs(_met(nodes, s, chunk).join(nodes.select("node", "fp").hint("merge"), "node"), s)
+
+
+def set_links(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Of the nodes of one cluster those that pairs of the Jaccard similarity connect, each with the first node connected
+    to it, itself included; found exactly. Overlaps with all other sets are counted at once from lists of the sets that
+    hold a shingle."""
+    sizes = np.array([len(x) for x in sets])
+    names, at = np.unique(np.concatenate(sets), return_inverse=True)
+    of = np.repeat(np.arange(len(sets)), sizes)
+    lists = of[np.argsort(at, kind="stable")]
+    stops = np.cumsum(np.bincount(at, minlength=len(names)))
+    edges = np.r_[0, np.cumsum(sizes)]
+    root = np.arange(len(sets))
+    for x in range(len(sets) - 1):
+        mine = at[edges[x] : edges[x + 1]]
+        n = stops[mine] - np.r_[0, stops][mine]
+        common = np.bincount(lists[np.repeat(stops[mine] - np.cumsum(n), n) + np.arange(n.sum())], minlength=len(sets))
+        near = (common >= similarity * (sizes + sizes[x] - common) - 1e-9) & (root != root[x])
+        if near.any():
+            met = np.unique(np.r_[root[x], root[near]])
+            root[np.isin(root, met)] = met[0]
+            if not root.any():  # all are one
+                break
+    many = np.bincount(root, minlength=len(sets))[root] > 1
+    return list(zip(node[many].tolist(), node[root[many]].tolist(), strict=True))
+
+
+def cluster_links(sets: DataFrame, similarity: float, nodes: int = SET_NODES, size: int = SET_BYTES) -> DataFrame:
+    """a, b, whole: links of clusters (node, root, hashes), as set_links has them. A cluster of many nodes or bytes is dealt
+    into chunks, each pair of chunks is one task of bounded memory, and its links are not the whole cluster's."""
+    # Grouped by a struct, so that the join can split a large cluster.
+    large = sets.groupBy(F.struct("root").alias("g")).agg(F.greatest(F.ceil(F.count("*") / F.lit(nodes)), F.ceil(F.sum(F.octet_length("hashes")) / F.lit(size))).cast("long").alias("c"))
+    large = large.where("c > 1").select("g.root", "c")
+    met = sets.join(large, "root", "left").withColumn("c", F.coalesce("c", F.lit(1).cast("long")))
+    dealt = met.select("node", "root", "hashes", (F.col("c") == 1).alias("whole"), F.explode(_parts(F.col("c"))).alias("part")).repartition("root", "part").sortWithinPartitions("root", "part", "node")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node, some, all_there = None, [], [], True
 
-def apart_pairs(node: np.ndarray, key: np.ndarray, part: np.ndarray, fp: np.ndarray, root: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """All pairs of a part of a bucket that lie within the distance and have different roots."""
-    out: list[tuple[int, int]] = []
-    edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]), True])
-    for a, z in itertools.pairwise(edges.tolist()):
-        # Members of the largest component needn't be compared with one another.
-        names, of = np.unique(root[a:z], return_inverse=True)
-        big = np.bincount(of, minlength=len(names)).argmax()
-        at = np.r_[np.flatnonzero(of != big), np.flatnonzero(of == big)]
-        for k in range(int((of != big).sum())):
-            rest = at[k + 1 :]
-            rest = rest[of[rest] != of[at[k]]] + a
-            rest = rest[_distance(fp[rest] ^ fp[a + at[k]]) <= most]
-            out += ((int(node[a + at[k]]), x) for x in node[rest].tolist())
-    return out
-
+        def out() -> pa.RecordBatch:
+            links = set_links(np.array(node), some, similarity)
+            a, b = zip(*links, strict=True) if links else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([all_there] * len(a), pa.bool_())], names=["a", "b", "whole"])
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b) those whose sets (node, hashes) have the Jaccard similarity, exactly."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+        for b in batches:
+            for i, r, x, p, whole in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (r, p) != key:
+                    if len(node) > 1:
+                        yield out()
+                    key, node, some, all_there = (r, p), [], [], whole
+                node.append(i)
+                some.append(np.frombuffer(x, "<u8"))
+        if len(node) > 1:
+            yield out()
+
+    return dealt.select("node", "root", "hashes", "part", "whole").mapInArrow(run, "a long, b long, whole boolean")
+
+
+def similar_nodes(docs: DataFrame, nodes: DataFrame, s: Scheme, text_col: str, chunk: int = CHUNK, broadcast: int = BROADCAST_TEXTS) -> DataFrame:
+    """node, root (the smallest node of its component) for nodes (node, fp, text, keys) linked to others by the similarity
+    of their shingles. Pairs within the distance that share a key make clusters; within a cluster the sets of shingles
+    decide, of all its nodes."""
+    dealt = _met(nodes, s, chunk).join(nodes.select("node", "fp").hint("merge"), "node")
+    clusters = checkpoint(components(_bucket_pairs(dealt, s), "a", "b"))
+    # Sets are made of the texts of nodes in clusters alone, one text for each.
+    wanted = checkpoint(clusters.join(nodes.select("node", "text"), "node"))
+    few = wanted.limit(broadcast + 1).count() <= broadcast
+    source = docs.select(F.coalesce(quoted(text_col), F.lit("")).alias("t")).withColumn("text", F.unhex(F.md5("t"))).join(F.broadcast(wanted) if few else wanted, "text")
+    source = source.dropDuplicates(["node"]).select("node", "root", F.encode("t", "UTF-8").alias("t"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-        return b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "x", "y").mapInArrow(by_row(run), "a long, b long")
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shingle_set(t, s.shingle) for t in b.column(2).to_pylist()], pa.binary())], names=["node", "root", "hashes"])
 
-
-def similar_links(docs: DataFrame, nodes: DataFrame, s: Scheme, similarity: float, text_col: str, chunk: int = CHUNK) -> DataFrame:
-    """a, b: links between nodes (node, fp, shingles) whose shingles have the similarity, which connect all such pairs that
-    the scheme proposes. A small bucket proposes all its pairs and a larger one first those of a spanning search. As some
-    of these fail, large buckets propose in a second round all pairs that are not connected by then."""
-    dealt = checkpoint(_met(nodes, s, chunk).join(nodes.select("node", "fp"), "node"))
-    ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = checkpoint(ordered(_bucket_pairs(dealt.withColumn("root", F.col("node")), s, lambda node, key, part, fp, _, most: bucket_links(node, key, part, fp, most))))
-    source = docs.select(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("t"))
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingle_set(t, s.shingle) for t in b.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array([md5(x).digest() for x in found], pa.binary()), pa.array(found, pa.binary())], names=["shingles", "hashes"])
-
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "shingles"), "node")
-    sets = checkpoint(source.mapInArrow(by_row(run), "shingles binary, hashes binary").join(wanted, "shingles").dropDuplicates(["node"]).select("node", "hashes"))
-    links = checkpoint(verified(pairs, sets, similarity))
-    large = dealt.where(F.col("n") > SMALL)
-    if large.isEmpty():
-        return links
-    roots = checkpoint(components(links, "a", "b"))
-    rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # What has no pair within the distance is in no pair of the second round either, so all sets are there.
-    again = ordered(_bucket_pairs(rooted, s, apart_pairs)).join(pairs, ["a", "b"], "left_anti")
-    return links.union(verified(checkpoint(again), sets, similarity))
+    links = checkpoint(cluster_links(checkpoint(source.mapInArrow(by_row(run), "node long, root long, hashes binary")), s.similarity))
+    met, rest = links.where("whole").select(F.col("a").alias("node"), F.col("b").alias("root")), links.where("NOT whole")
+    return met if rest.isEmpty() else met.union(components(rest, "a", "b"))
 
 
 def simhash_groups(docs: DataFrame, scheme: Scheme | None = None, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, chunk: int = CHUNK) -> DataFrame:
-    """id, digest, fp, component (the smallest id reachable) and group (any number) of each row. Give a scheme, or a similarity of
-    shingles, which links are verified by; else 4 of 64 bits may differ."""
-    first = scheme or (candidate_scheme(0, similarity) if similarity else Scheme())
-    exact = similarity is not None and scheme is None
+    """id, digest, fp, component (the smallest id reachable) and group (any number) of each row. Give a scheme, or a
+    similarity of shingles, which links are verified by; else 4 of 64 bits may differ."""
+    if similarity is not None and not (scheme is None and 0.5 <= similarity < 1):
+        raise ValueError("a similarity from 0.5 to below 1, without a scheme")
+    first = similar_scheme(similarity) if similarity else scheme or Scheme()
     rows = checkpoint(fingerprints(docs, first, id_col, text_col))
-    same = ["fp", "shingles"] if exact else ["fp"]
-    nodes = rows.groupBy(*same).agg(F.min("id").alias("least")).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    same = ["fp", "shingles"] if similarity else ["fp"]
+    more = [F.min("digest").alias("text"), F.first("keys").alias("keys")] if similarity else []
+    nodes = rows.groupBy(*same).agg(F.min("id").alias("least"), *more).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     nodes = checkpoint(nodes.withColumn("node", F.monotonically_increasing_id()))  # many parts, as each node has many keys
-    n = nodes.count()
-    s = scheme or (candidate_scheme(n, similarity) if similarity else exact_scheme(n))
-    met = components(similar_links(docs, nodes, s, similarity, text_col, chunk) if exact else fingerprint_links(nodes, s, chunk), "a", "b")
-    met = checkpoint(met.join(nodes.select("node", "least"), "node").select("node", "root", "least"))
-    of_root = met.groupBy("root").agg(F.min("least").alias("component"))
-    moved = met.join(of_root, "root").select("node", "root", "component")
-    named = nodes.join(moved, "node", "left").select(*same, F.coalesce("component", "least").alias("component"), F.coalesce("root", "node").alias("group"))
-    return rows.join(named, same).select("id", "digest", "fp", "component", "group")
+    s = first if scheme or similarity else exact_scheme(nodes.count())
+    met = similar_nodes(docs, nodes, s, text_col, chunk) if similarity else components(fingerprint_links(nodes, s, chunk), "a", "b")
+    met = checkpoint(met.join(nodes.select("node", "least").hint("merge"), "node").select("node", "root", "least"))
+    of_root = met.groupBy(F.struct("root").alias("g")).agg(F.min("least").alias("component")).select("g.root", "component")
+    moved = met.join(of_root.hint("merge"), "root").select("node", "root", "component")
+    named = nodes.join(moved.hint("merge"), "node", "left").select(*same, F.coalesce("component", "least").alias("component"), F.coalesce("root", "node").alias("group"))
+    return rows.join(named.hint("merge"), same).select("id", "digest", "fp", "component", "group")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one row of each group, one with the smallest id; all columns as they were."""
     found = checkpoint(simhash_groups(docs, id_col=id_col, text_col=text_col, **options))
     of = ["id", "digest"]
-    stays = found.groupBy("group").agg(F.min(F.struct(*of)).alias("m"), F.count("*").alias("n")).where("n > 1").select("group", "m")
-    met = checkpoint(found.join(stays, "group").groupBy(*of).agg(F.bool_or(F.struct(*of) == F.col("m")).alias("stays"), F.count("*").alias("n")))
-    digest = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    return without_rows(docs, F.col(id_col), digest, met.where(~F.col("stays")).select(*of), met.where(F.col("stays") & (F.col("n") > 1)).select(*of))
+    # Grouped by a struct, so that the join can split a large group.
+    stays = found.groupBy(F.struct("group").alias("g")).agg(F.min(F.struct(*of)).alias("m"), F.count("*").alias("n")).where("n > 1").select("g.group", "m")
+    met = checkpoint(found.join(stays.hint("merge"), "group").groupBy(*of).agg(F.bool_or(F.struct(*of).eqNullSafe(F.col("m"))).alias("stays"), F.count("*").alias("n")))
+    digest = F.unhex(F.md5(F.coalesce(quoted(text_col), F.lit(""))))
+    return without_rows(docs, quoted(id_col), digest, met.where(~F.col("stays")).select(*of), met.where(F.col("stays") & (F.col("n") > 1)).select(*of))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
