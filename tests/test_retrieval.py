@@ -138,3 +138,11 @@ def test_stream(spark, docs, tmp_path):
     ix = stream.opened(spark, f"{tmp_path}/index")
     assert {r.doc_id for r in ix.lookup("the").collect()} == {0, 1, 2, 3} and ix.documents.count() == 6
     assert {r.doc_id for r in boolean.search_index(ix, '"of the" && based').collect()} == {1, 3}
+
+
+def test_an_index_is_deleted(spark, tmp_path):
+    ix = index.Index.build(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), str(tmp_path / "gone"))
+    assert ix.stats.count() == 2
+    ix.delete()
+    ix.delete()
+    assert not (tmp_path / "gone").exists()

@@ -66,3 +66,12 @@ def test_codec_round_trips(spark):
 @given(st.lists(st.integers(0, 2**60), max_size=30, unique=True).map(sorted))
 def test_variable_bytes_alone(x):
     assert codecs.read_variable(codecs.write_variable(x)).tolist() == x
+
+
+def test_segments(spark):
+    words = ["中国", "科学", "学院", "科学院", "中国科学院", "a.b"]
+    df = spark.createDataFrame([("中国科学院在a.b 北京x1",), ("",), (None,)], "t string")
+    got = [list(r[0]) for r in df.select(tx.segments("t", words)).collect()]
+    assert got == [["中国科学院", "在", "a.b", "北", "京", "x1"], [], []]
+    search = [list(r[0]) for r in df.select(tx.segments("t", words, search=True)).collect()]
+    assert search[0] == ["中国", "科学", "学院", "科学院", "中国科学院", "在", "a.b", "北", "京", "x1"]

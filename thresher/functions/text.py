@@ -5,6 +5,8 @@ Null texts have no tokens. Every function of a column takes a Column or a column
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +51,27 @@ def raw_tokens(text: Text) -> Column:
     return F.coalesce(F.filter(F.split(_col(text), r"\s+"), lambda x: x != ""), F.array().cast("array<string>"))
 
 
+def segments(text: Text, words: list[str], search: bool = False) -> Column:
+    """Texts without spaces as words of a dictionary, by forward maximum matching: at each place the longest word, else a
+    run of letters a-z and digits, else one character; white space separates. search: before a longer word come the
+    words of the dictionary of two and of three characters inside it. The dictionary is part of the expression: for
+    some thousands of words."""
+    known = sorted({w for w in words if w and not re.search(r"\s", w)}, key=lambda w: (-len(w), w))
+    pattern = "|".join([*(re.sub(r"([^\w])", r"\\\1", w) for w in known), "[a-zA-Z0-9]+", r"\S"])
+    found = F.coalesce(F.regexp_extract_all(_col(text), F.lit(f"({pattern})"), F.lit(1)), F.array().cast("array<string>"))
+    if not search:
+        return found
+
+    def inner(w: Column, n: int) -> Column:
+        some = [x for x in known if len(x) == n]
+        if not some:
+            return F.array().cast("array<string>")
+        parts = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))
+        return F.when(F.char_length(w) > n, F.filter(parts, lambda x: x.isin(some))).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.transform(found, lambda w: F.concat(inner(w, 2), inner(w, 3), F.array(w))))
+
+
 def distinct_terms(text: Text, stop_words: list[str] | None = None) -> Column:
     """The set of a document's words without stop words, sorted."""
     found = F.array_distinct(tokens(text))

@@ -1,7 +1,7 @@
 """Tokens, postings and term statistics of a collection, and the persisted index.
 
-``tokens`` (doc_id, pos, term) is the one source; postings, statistics and ids are aggregates of it. Counts are made per
-document in the JVM before any shuffle, so what moves is one row per document and term, partly aggregated again per task.
+``tokens`` (doc_id, pos, term) is the one source; postings, statistics and ids are aggregates of it, partly aggregated per
+task before the shuffle. Statistics of words need one shuffle, by word; a row is a document.
 """
 
 from __future__ import annotations
@@ -24,18 +24,26 @@ def doc_terms(docs: DataFrame, stop_words: list[str] | None = None) -> DataFrame
     return docs.select("doc_id", F.explode(tx.distinct_terms("text", stop_words)).alias("term"))
 
 
+def _wanted(words: Column, terms: list[str] | None) -> Column:
+    if terms is None:
+        return words
+    wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
+    return F.filter(words, lambda x: F.array_contains(wanted, x))
+
+
 def term_frequencies(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
     """doc_id, term, tf. With terms, other words are dropped before they become rows."""
-    words = tx.tokens("text")
-    if terms is not None:
-        wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-        words = F.filter(words, lambda x: F.array_contains(wanted, x))
+    words = _wanted(tx.tokens("text"), terms)
     return docs.select("doc_id", F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def term_stats(docs: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """term, cf (occurrences), df (documents)."""
-    return term_frequencies(docs, terms).groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+    """term, cf (occurrences), df (documents, which are rows). Each occurrence and each distinct word of a row is counted
+    where it is read, so what is shuffled is one row per word and task."""
+    words = _wanted(tx.tokens("text"), terms)
+    one = lambda cf, df: lambda x: F.struct(x.alias("term"), F.lit(cf).cast("long").alias("cf"), F.lit(df).cast("long").alias("df"))
+    seen = F.concat(F.transform("w", one(1, 0)), F.transform(F.array_distinct("w"), one(0, 1)))
+    return docs.select(words.alias("w")).select(F.explode(seen).alias("x")).groupBy("x.term").agg(F.sum("x.cf").alias("cf"), F.sum("x.df").alias("df"))
 
 
 def with_idf(stats: DataFrame, n_docs: DataFrame, smooth: bool = False) -> DataFrame:
@@ -180,6 +188,11 @@ class Index:
         new.select("doc_id", F.size(tx.tokens("text")).cast("long").alias("length")).write.mode("append").parquet(f"{self.path}/documents")
         self.postings.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")).write.mode("overwrite").parquet(f"{self.path}/stats")
 
+    def delete(self) -> None:
+        """Removes the index from storage; an index that isn't there stays so."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
     def lookup(self, term: str) -> DataFrame:
         """doc_id, positions, tf of a term, by document; an unknown term has no rows."""
         return self.postings.where(F.col("term") == term).select("doc_id", "positions", "tf")

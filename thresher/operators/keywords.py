@@ -21,7 +21,10 @@ def keyword_scores(docs: DataFrame, literal_n: int | None = None) -> DataFrame:
     """doc_id, term, score = tf / length * ln(N / (1 + df)). literal_n: a number in place of N."""
     counts = word_counts(docs)
     n = document_count(docs) if literal_n is None else docs.sparkSession.range(1).select(F.lit(literal_n).alias("n"))
-    stats = with_idf(counts.groupBy("term").agg(F.count("*").alias("df")), n, smooth=True)
+    # Documents of a word are counted where its texts are read, not from counts; grouped by a struct, so that the join has
+    # shuffles of its own, of which adaptive execution splits a common word's.
+    seen = docs.select(F.explode(F.array_distinct(tx.content_words("text"))).alias("term"))
+    stats = with_idf(seen.groupBy(F.struct("term").alias("g")).agg(F.count("*").alias("df")).select("g.term", "df"), n, smooth=True)
     return counts.join(stats, "term").select("doc_id", "term", (F.col("tf") / F.col("length") * F.col("idf")).alias("score"))
 
 

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Written to the folder that spark.checkpoint.dir names; where that is unset, as in tests, to a local one."""
+    """Written to the folder that spark.checkpoint.dir names. Where that is unset, in local mode (tests) to a local one;
+    on a cluster that is an error, as other machines would not see it."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="thresher-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="thresher-"))
     return df.checkpoint(eager=True)

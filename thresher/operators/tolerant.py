@@ -14,6 +14,10 @@ from .boolean import Node, Not, Op, Phrase, Word, leaves, parse
 from .lineage import checkpoint
 
 
+#: Words to correct whose grams are broadcast at most; beyond, both sides are shuffled by gram.
+FEW = 10_000
+
+
 def vocabulary(docs: DataFrame) -> DataFrame:
     """term: every distinct word. Words are made distinct per document first."""
     return docs.select(F.explode(F.array_distinct(tx.tokens("text"))).alias("term")).distinct()
@@ -32,7 +36,10 @@ def candidates(words: DataFrame, vocab: DataFrame, least: float = 0.3, top: int
     """word, term, jaccard, distance, rank: for each word the terms whose sets of k-grams are more alike than least, the
     best by likeness, then term. |union| follows from the sizes, so only shared grams are joined."""
     grams = lambda df, c: df.select(c, F.array_distinct(tx.kgrams(c)).alias("g")).select(c, F.size("g").alias(f"n_{c}"), F.explode("g").alias("gram"))
-    pairs = grams(words.select("word").distinct(), "word").join(grams(vocab.select("term"), "term"), "gram").groupBy("word", "term", "n_word", "n_term").agg(F.count("*").alias("both"))
+    asked = checkpoint(words.select("word").distinct())
+    few = asked.limit(FEW + 1).count() <= FEW  # then no gram of the vocabulary is shuffled
+    mine = grams(asked, "word")
+    pairs = (F.broadcast(mine) if few else mine).join(grams(vocab.select("term"), "term"), "gram").groupBy("word", "term", "n_word", "n_term").agg(F.count("*").alias("both"))
     alike = pairs.select("word", "term", (F.col("both") / (F.col("n_word") + F.col("n_term") - F.col("both"))).alias("jaccard")).where(F.col("jaccard") > least)
     ranked = alike.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("jaccard"), "term"))).where(F.col("rank") <= top)
     return ranked.withColumn("distance", F.levenshtein("word", "term"))

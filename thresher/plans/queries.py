@@ -486,6 +486,19 @@ def _(spark, sf):
     return keywords.textrank(documents(spark, sf), iterations=5, round_to=6)
 
 
+@query("textrank_top3", f"WITH {_textrank(4)} SELECT * FROM (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term DESC) AS INTEGER) AS rank, term, score FROM (SELECT doc_id, term, round(score, 6) AS score FROM r4)) WHERE rank <= 3")
+def _(spark, sf):
+    return keywords.textrank(documents(spark, sf), k=3, iterations=4, round_to=6)
+
+
+_PIECES = ["tion", "ing", "the", "and", "ch", "en", "er", "an", "eau", "tionen", "thing", "other"]
+
+
+@query("segment_words", r"""SELECT doc_id, array_to_string(regexp_extract_all(coalesce(text, ''), '(thing|tionen|other|tion|and|eau|ing|the|an|ch|en|er|[a-zA-Z0-9]+|[^\t\n\v\f\r ])', 1), ' ') AS words FROM documents""")
+def _(spark, sf):
+    return documents(spark, sf).select("doc_id", F.array_join(tx.segments("text", _PIECES), " ").alias("words"))
+
+
 @query("binary_vectors", f"WITH {S.CONTENT}, v AS (SELECT * FROM (VALUES ('moron', 1), ('scum', 2), ('license', 3), ('under', 4)) v(term, id)), x AS (SELECT doc_id, id FROM c JOIN v ON list_contains(w, term)) SELECT doc_id, coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id), '') AS ids FROM documents LEFT JOIN x USING (doc_id) GROUP BY doc_id")
 def _(spark, sf):
     dictionary = spark.createDataFrame([("moron", 1), ("scum", 2), ("license", 3), ("under", 4)], "term string, id long")
@@ -550,12 +563,13 @@ def _(spark, sf):
 
 
 def _frames(spark: SparkSession, sf: str) -> DataFrame:
-    """Frames that a rule makes of every document: the third word of each run of eight is a predicate."""
-    w = documents(spark, sf).select("doc_id", tx.tokens("text").alias("w")).where(F.size("w") >= 8)
-    runs = w.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.floor(F.size("w") / 8).cast("int") - 1)).alias("k")).select("doc_id", "k", F.slice("w", F.col("k") * 8 + 1, F.lit(8)).alias("tokens"))
+    """Frames that a rule makes of every document: the third word of each run of eight is a predicate. The last run may be
+    shorter and then has the arguments that are whole."""
+    w = documents(spark, sf).select("doc_id", tx.tokens("text").alias("w")).where(F.size("w") > 0)
+    runs = w.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.ceil(F.size("w") / 8).cast("int") - 1)).alias("k")).select("doc_id", "k", F.slice("w", F.col("k") * 8 + 1, F.lit(8)).alias("tokens"))
     arg = lambda role, a, z: F.struct(F.lit(role).alias("role"), F.lit(a).alias("start"), F.lit(z).alias("end"))
-    frame = F.struct(F.lit(2).alias("pred"), F.array(arg("A0", 0, 1), arg("A1", 3, 3), arg("A2", 4, 5), arg("ARGM-TMP", 6, 7)).alias("args"))
-    return runs.withColumn("frames", F.array(frame))
+    args = F.filter(F.array(arg("A0", 0, 1), arg("A1", 3, 3), arg("A2", 4, 5), arg("ARGM-TMP", 6, 7)), lambda x: x["end"] < F.size("tokens"))
+    return runs.where(F.size("tokens") > 2).withColumn("frames", F.array(F.struct(F.lit(2).alias("pred"), args.alias("args"))))
 
 
 @query("kg_triples", f"WITH {S.FRAMES} SELECT doc_id, k, m_label, m_name, rel, n_label, n_name FROM tr")

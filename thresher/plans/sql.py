@@ -64,6 +64,7 @@ r{k} AS (SELECT node, {alpha} * (coalesce(got, 0) + loose / n) + {1 - alpha} / n
     return out
 
 
-#: Frames that a rule makes of every document: the third word of each run of eight is a predicate.
-FRAMES = f"""{DOCS}, runs AS (SELECT doc_id, CAST(k AS INTEGER) AS k, w[8 * k + 1 : 8 * k + 8] AS t FROM (SELECT doc_id, w, unnest(range(len(w) // 8)) AS k FROM d)),
-tr AS (SELECT doc_id, k, 'A0' AS m_label, t[1] || '_' || t[2] AS m_name, t[3] AS rel, unnest(['A1', 'A2']) AS n_label, unnest([t[4], t[5] || '_' || t[6]]) AS n_name FROM runs)"""
+#: Frames that a rule makes of every document: the third word of each run of eight is a predicate; the last run may be shorter.
+FRAMES = f"""{DOCS}, runs AS (SELECT doc_id, CAST(k AS INTEGER) AS k, w[8 * k + 1 : 8 * k + 8] AS t FROM (SELECT doc_id, w, unnest(range((len(w) + 7) // 8)) AS k FROM d)),
+tr AS (SELECT doc_id, k, 'A0' AS m_label, t[1] || '_' || t[2] AS m_name, t[3] AS rel, n_label, CASE n_label WHEN 'A1' THEN t[4] ELSE t[5] || '_' || t[6] END AS n_name
+  FROM runs, (VALUES ('A1', 4), ('A2', 6)) v(n_label, least) WHERE len(t) >= least)"""
