@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from compare import DATA
 
-from thresher.llm.media import ALAW, IMA, MULAW, PCM, TABLES, _features, compress_alaw, decode_adpcm, decode_media, encode_adpcm, expand, read_wav, resample, write_wav
+from thresher.llm.media import ALAW, IMA, MULAW, PCM, TABLES, _features, adpcm_again, compress_alaw, decode_adpcm, decode_media, encode_adpcm, expand, read_wav, resample, write_wav
 from thresher.llm.queries import QUERIES
 
 
@@ -114,7 +114,8 @@ def test_features_of_the_query_by_plain_code():
         rows.append(int(TABLES[ALAW][min(known, key=lambda c: (abs(int(TABLES[ALAW][c]) - a), int(TABLES[ALAW][c])))]))
     crc = lambda xs: zlib.crc32(struct.pack(f"<{len(xs)}h", *xs))
     want = f"rate=8000;samples=1024;mean_square={sum(a * a for a in pcm) // 1024};crossings={sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:], strict=False))};peak={max(map(abs, pcm))};pcm16000_crc32={crc(twice)};"
-    got = _features(np.array(pcm, np.int16), 8000)
+    samples = np.array(pcm, np.int16)
+    got = _features(samples, 8000, adpcm_again([np.empty(0, np.int16), samples[:7], samples, samples[:600]], 8000)[2])
     assert got.startswith(want) and got.endswith(f"alaw_crc32={crc(rows)}")
     adpcm = decode_adpcm(encode_adpcm(np.array(pcm, np.int16)))[:1024]
     assert f";adpcm_crc32={zlib.crc32(adpcm.tobytes())};" in got

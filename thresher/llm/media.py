@@ -14,6 +14,7 @@ columns of their names.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ from .common import map_texts, quoted, read
 PIECE = 1 << 18
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 17
 SLOWEST, FASTEST = 1_000, 384_000
+#: ADPCM blocks that are worked on together at most.
+BLOCKS = 4096
 
 
 def _mulaw_table() -> np.ndarray:
@@ -45,6 +48,9 @@ def _alaw_table() -> np.ndarray:
 
 
 TABLES = {MULAW: _mulaw_table(), ALAW: _alaw_table()}
+_ORDER = np.argsort(TABLES[ALAW], kind="stable").astype(np.uint8)
+#: The A-law code of each 16-bit sample, from -32768 on: the nearest, of two as near that of the lower sample.
+_NEAREST = _ORDER[np.searchsorted((TABLES[ALAW][_ORDER][1:].astype(np.int64) + TABLES[ALAW][_ORDER][:-1]) / 2, np.arange(-32768, 32768))]
 STEPS = np.array([7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767])
 MOVES = np.array([-1, -1, -1, -1, 2, 4, 6, 8])
 
@@ -162,9 +168,22 @@ def decode_media(df: DataFrame, media_col: str = "media", keep: tuple[str, ...]
     return map_texts(df, keep, quoted(media_col).cast("binary"), made, decoded, rows=64)
 
 
-def _features(pcm: np.ndarray, rate: int) -> str:
-    """Of the expanded samples, and of what is made of them: the stored PCM file at twice the rate, and the ADPCM and A-law
-    files, each read back and expanded again."""
+def adpcm_again(many: list[np.ndarray], rate: int, block: int = 256) -> list[np.ndarray]:
+    """Recordings after they were stored as ADPCM files, read back and decoded. Blocks of all recordings are worked on
+    together, BLOCKS at a time."""
+    per = 1 + 2 * (block - 4)
+    padded = [np.pad(x, (0, -len(x) % per), "edge") if len(x) else x for x in many]
+    ends = np.cumsum([0, *(len(x) // per for x in padded)])
+    flat = np.concatenate([*padded, np.empty(0, "<i2")])
+    data = b"".join(encode_adpcm(flat[at : at + BLOCKS * per], block) for at in range(0, len(flat), BLOCKS * per))
+    data = b"".join(read_wav(write_wav(data[a * block : z * block], IMA, rate, block))[3] for a, z in itertools.pairwise(ends.tolist()))
+    back = np.concatenate([*(decode_adpcm(data[at : at + BLOCKS * block], block) for at in range(0, len(data), BLOCKS * block)), np.empty(0, "<i2")])
+    return [back[a * per : a * per + len(x)] for a, x in zip(ends.tolist(), many, strict=False)]
+
+
+def _features(pcm: np.ndarray, rate: int, adpcm: np.ndarray) -> str:
+    """Of the expanded samples, and of what is made of them: the stored PCM file at twice the rate and the A-law file, each
+    read back and expanded again, and the ADPCM samples that adpcm_again gives."""
     energy = crossings = peak = 0
     for at in range(0, len(pcm), PIECE):
         x = pcm[at : at + PIECE + 1].astype(np.int64)  # one more, for the crossing at the border
@@ -172,24 +191,26 @@ def _features(pcm: np.ndarray, rate: int) -> str:
         energy += int((x[:PIECE] ** 2).sum())
         peak = max(peak, int(np.abs(x[:PIECE]).max()))
     again = []
-    for kind, to, data in ((PCM, 2 * rate, b"".join(x.tobytes() for x in resample(pcm, rate, 2 * rate))), (IMA, rate, encode_adpcm(pcm)), (ALAW, rate, compress_alaw(pcm))):
+    for kind, to, data in ((PCM, 2 * rate, b"".join(x.tobytes() for x in resample(pcm, rate, 2 * rate))), (ALAW, rate, compress_alaw(pcm))):
         kind, _, block, data = read_wav(write_wav(data, kind, to))
-        again.append(zlib.crc32(expand(kind, data, block)[: len(pcm) * to // rate].tobytes()))
-    return f"rate={rate};samples={len(pcm)};mean_square={energy // max(1, len(pcm))};crossings={crossings};peak={peak};pcm{2 * rate}_crc32={again[0]};adpcm_crc32={again[1]};alaw_crc32={again[2]}"
+        again.append(zlib.crc32(expand(kind, data, block).tobytes()))
+    return f"rate={rate};samples={len(pcm)};mean_square={energy // max(1, len(pcm))};crossings={crossings};peak={peak};pcm{2 * rate}_crc32={again[0]};adpcm_crc32={zlib.crc32(adpcm.tobytes())};alaw_crc32={again[1]}"
 
 
 def compress_alaw(pcm: np.ndarray) -> bytes:
     """The A-law codes whose samples are nearest (of two as near, the lower sample's)."""
-    order = np.argsort(TABLES[ALAW], kind="stable").astype(np.uint8)
-    known = TABLES[ALAW][order].astype(np.int64)
-    return order[np.searchsorted((known[1:] + known[:-1]) / 2, pcm)].tobytes()
+    return _NEAREST[pcm.astype(np.int64) + 32768].tobytes()
 
 
-def _stored(text: str) -> tuple[int, int, str, int, int, str, str]:
-    raw = text.encode()
-    wav = write_wav(raw + b"\0" * (-len(raw) % 64 or 64 * (not raw)))
-    kind, rate, block, back = read_wav(wav)
-    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(wav), hashlib.sha256(wav).hexdigest(), _features(expand(kind, back, block), rate)
+def _stored(some: list[str]) -> list[tuple[int, int, str, int, int, str, str]]:
+    rows, many = [], []
+    for text in some:
+        raw = text.encode()
+        wav = write_wav(raw + b"\0" * (-len(raw) % 64 or 64 * (not raw)))
+        kind, rate, block, back = read_wav(wav)
+        rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(wav), hashlib.sha256(wav).hexdigest()))
+        many.append(expand(kind, back, block))
+    return [(*r, _features(x, 8000, y)) for r, x, y in zip(rows, many, adpcm_again(many, 8000), strict=True)]
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,6 +219,6 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = [pa.int64() if t is long else pa.string() for _, t in made]
 
     def stored(some: pa.Array) -> list[pa.Array]:
-        return list(map(pa.array, list(zip(*map(_stored, some.to_pylist()), strict=True)) or [()] * len(made), kinds))
+        return list(map(pa.array, list(zip(*_stored(some.to_pylist()), strict=True)) or [()] * len(made), kinds))
 
-    return map_texts(read(spark, sf_dir, "documents"), ("doc_id",), F.coalesce("text", F.lit("")), made, stored)
+    return map_texts(read(spark, sf_dir, "documents"), ("doc_id",), F.coalesce("text", F.lit("")), made, stored, rows=256)
