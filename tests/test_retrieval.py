@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def stored(docs, tmp_path_factory):
-    return index.Index.build(docs, str(tmp_path_factory.mktemp("index")), 3)
+    return index.Index.build(docs, str(tmp_path_factory.mktemp("index")))
 
 
 QUERIES = {
@@ -84,6 +85,7 @@ def test_index(spark, docs, stored):
     assert [r.term for r in stored.scan().collect()] == sorted({w for r in index.tokens(docs).collect() for w in [r.term]})
     stored.append(spark.createDataFrame([(9, "the zebra"), (0, "not taken")], "doc_id long, text string"))
     assert stored.lookup("zebra").first().doc_id == 9 and stored.documents.count() == 7 and stored.lookup("taken").count() == 0
+    assert {(r.cf, r.df) for r in stored.stats.where("term = 'the'").collect()} == {(9, 5)}
 
 
 def test_conjunction_and_ids(docs):
@@ -137,9 +139,22 @@ def test_stream(spark, docs, tmp_path):
     stream.follow(source, f"{tmp_path}/index", f"{tmp_path}/state").awaitTermination()
     ix = stream.opened(spark, f"{tmp_path}/index")
     assert {r.doc_id for r in ix.lookup("the").collect()} == {0, 1, 2, 3} and ix.documents.count() == 6
+    assert {(r.cf, r.df) for r in ix.stats.where("term = 'the'").collect()} == {(8, 4)}
     assert {r.doc_id for r in boolean.search_index(ix, '"of the" && based').collect()} == {1, 3}
 
 
+def test_an_interrupted_append_is_made_again(spark, tmp_path):
+    t = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    ix = index.Index.build(t((1, "a b")), str(tmp_path / "ix"))
+    ix.append(t((2, "b c"), (3, "c c")))
+    (batch,) = [p for p in (tmp_path / "ix" / "documents").iterdir() if p.name not in ("batch=first",)]
+    shutil.rmtree(batch)  # as if it had stopped before the last table
+    ix.append(t((2, "b c"), (3, "c c"), (1, "not taken")))
+    ix.append(t((3, "c c")))
+    assert {(r.term, r.cf, r.df) for r in ix.stats.collect()} == {("a", 1, 1), ("b", 2, 2), ("c", 3, 2)}
+    assert ix.lookup("c").count() == 2 and ix.documents.count() == 3
+
+
 def test_an_index_is_deleted(spark, tmp_path):
     ix = index.Index.build(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), str(tmp_path / "gone"))
     assert ix.stats.count() == 2

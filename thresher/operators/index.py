@@ -154,39 +154,58 @@ def phrase_positions(toks: DataFrame, words: list[str]) -> DataFrame:
     return votes.groupBy("doc_id", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("n")).where(F.col("n") == len(words)).select("doc_id", "start")
 
 
-class Index:
-    """A persisted index: tables of Parquet under one path, sorted by term, so that a lookup reads few row groups."""
+def write_batch(docs: DataFrame, path: str, batch: str) -> None:
+    """Writes the postings, statistics and lengths of docs (doc_id, text) as a batch of the index at path, in place of what
+    an interrupted try left of it. Lengths come last: documents that are there are whole."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = positional_postings(tokens(docs)).withColumn("tf", F.size("positions").cast("long"))
+    # By term and document: one term that every document holds is cut over several files.
+    lists.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings/batch={batch}")
+    written = docs.sparkSession.read.parquet(f"{path}/postings/batch={batch}")
+    stats = written.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+    stats.repartitionByRange(n, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/stats/batch={batch}")
+    docs.select("doc_id", F.size(tx.tokens("text")).cast("long").alias("length")).write.mode("overwrite").parquet(f"{path}/documents/batch={batch}")
+
 
-    TABLES = ("postings", "stats", "documents")
+class Index:
+    """A persisted index: tables of Parquet under one path, in batches sorted by term, so that a lookup reads few row groups."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     @classmethod
-    def build(cls, docs: DataFrame, path: str, buckets: int | None = None) -> Index:
+    def build(cls, docs: DataFrame, path: str) -> Index:
         """Writes the index of docs (doc_id, text), in place of what is there."""
-        spark = docs.sparkSession
-        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        lists = positional_postings(tokens(docs)).withColumn("tf", F.size("positions").cast("long"))
-        # By term and document: one term that every document holds is cut over several files.
-        lists.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        docs.select("doc_id", F.size(tx.tokens("text")).cast("long").alias("length")).write.mode("overwrite").parquet(f"{path}/documents")
-        self = cls(spark, path)
-        stats = self.postings.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
-        stats.repartitionByRange(n, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/stats")
+        self = cls(docs.sparkSession, path)
+        self.delete()
+        write_batch(docs, path, "first")
         return self
 
-    def __getattr__(self, name: str) -> DataFrame:
-        if name in self.TABLES:
-            return self.spark.read.parquet(f"{self.path}/{name}")
-        raise AttributeError(name)
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}").drop("batch")
+
+    @property
+    def postings(self) -> DataFrame:
+        """term, doc_id, positions, tf."""
+        return self._table("postings")
+
+    @property
+    def documents(self) -> DataFrame:
+        """doc_id, length."""
+        return self._table("documents")
+
+    @property
+    def stats(self) -> DataFrame:
+        """term, cf, df: the sums of the batches' own."""
+        return self._table("stats").groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
 
     def append(self, docs: DataFrame) -> None:
-        """Adds documents that are not there yet; statistics are made anew from the postings."""
-        new = docs.dropDuplicates(["doc_id"]).join(self.documents.select("doc_id"), "doc_id", "left_anti").select("doc_id", "text")
-        positional_postings(tokens(new)).withColumn("tf", F.size("positions").cast("long")).sortWithinPartitions("term", "doc_id").write.mode("append").parquet(f"{self.path}/postings")
-        new.select("doc_id", F.size(tx.tokens("text")).cast("long").alias("length")).write.mode("append").parquet(f"{self.path}/documents")
-        self.postings.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")).write.mode("overwrite").parquet(f"{self.path}/stats")
+        """Adds documents that are not there yet, as a batch that is named by their ids: a try that was interrupted is
+        written over when it is made again. Nothing of other batches is read but the ids."""
+        new = checkpoint(docs.dropDuplicates(["doc_id"]).join(self.documents.select("doc_id"), "doc_id", "left_anti").select("doc_id", "text"))
+        n, ids = new.agg(F.count("*"), F.sum(F.xxhash64("doc_id").cast("decimal(38, 0)"))).first()
+        if n:
+            write_batch(new, self.path, f"{n}_{int(ids) % (1 << 64):x}")
 
     def delete(self) -> None:
         """Removes the index from storage; an index that isn't there stays so."""

@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Written to the folder that spark.checkpoint.dir names. Where that is unset, in local mode (tests) to a local one;
-    on a cluster that is an error, as other machines would not see it."""
-    sc = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where that is unset, in local mode (tests) a local one; on a cluster that
+    is an error, as other machines would not see it."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="thresher-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, for tables that live as long as the application."""
+    return f"{_folder(spark)}/{uuid4().hex}"

@@ -440,9 +440,9 @@ def _(spark, sf):
     return graph.pagerank(_edges(spark, sf, reverse=True), iterations=4).withColumn("value", F.round("value", 12))
 
 
-@query("pagerank_converged", f"WITH {S.pagerank(30)} SELECT node, round(value, 3) AS value FROM r30")
+@query("pagerank_converged", f"WITH {S.pagerank_limit(100)} SELECT node, round(value, 10) AS value FROM r WHERE k = 100")
 def _(spark, sf):
-    return graph.pagerank(_edges(spark, sf), tolerance=1e-9).withColumn("value", F.round("value", 3))
+    return graph.pagerank(_edges(spark, sf), tolerance=1e-14).withColumn("value", F.round("value", 10))
 
 
 @query("pagerank_join_default", f"WITH {S.pagerank(2)} SELECT page_id, url, round(coalesce(value, 1e-6), 12) AS value FROM pages LEFT JOIN (SELECT * FROM r2 WHERE value > 0.0005) x ON url = node")

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from thresher.functions.text import LETTERS, PUNCTUATION, SOUNDEX_DIGITS, STOP_WORDS
-from thresher.operators.crawl import HIDDEN, REFERENCES
+from thresher.functions.text import STOP_WORDS
+
+# What the engine's constants must amount to, written out here so that a wrong one doesn't pass on both sides.
+PUNCTUATION = r"[!-/:-@\[\]^-`{-~]+"
+SOUNDEX = ("AEIOUYHW", "BFPV", "CGJKQSXZ", "DT", "L", "MN", "R")
+HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+CONTRACTIONS = {"cannot": "can not", "gonna": "gon na", "gotta": "got ta", "wanna": "wan na", "gimme": "gim me", "lemme": "lem me"}
 
 
 def q(s: str) -> str:
@@ -20,6 +26,9 @@ DOCS = f"d AS (SELECT doc_id, coalesce({WORDS}, []) AS w FROM documents)"
 TOKS = f"{DOCS}, toks AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS term FROM d)"
 TF = f"{TOKS}, tf AS (SELECT doc_id, term, count(*) AS tf FROM toks GROUP BY doc_id, term)"
 STATS = f"{TF}, stats AS (SELECT term, CAST(sum(tf) AS BIGINT) AS cf, count(*) AS df FROM tf GROUP BY term)"
+CONTRACTED = f"lower(regexp_replace(text, {q(PUNCTUATION)}, ' ', 'g'))"
+for _whole, _parts in CONTRACTIONS.items():
+    CONTRACTED = rf"regexp_replace({CONTRACTED}, '\b{_whole}\b', '{_parts}', 'g')"
 VOCAB = f"{TOKS}, vocab AS (SELECT DISTINCT term FROM toks)"
 CONTENT = f"{DOCS}, c AS (SELECT doc_id, list_filter(w, lambda x: length(x) >= 2 AND x NOT IN {STOP}) AS w FROM d)"
 
@@ -30,7 +39,7 @@ def grams(w: str) -> str:
 
 def soundex(w: str) -> str:
     letters = f"upper(regexp_replace({w}, '[^A-Za-z]', '', 'g'))"
-    digits = f"translate({letters}, '{LETTERS}', '{SOUNDEX_DIGITS}')"
+    digits = f"translate({letters}, '{''.join(SOUNDEX)}', '{''.join(str(d) * len(x) for d, x in enumerate(SOUNDEX))}')"
     for d in "0123456":
         digits = f"regexp_replace({digits}, '{d}+', '{d}', 'g')"
     return f"substr(rpad(substr({letters}, 1, 1) || replace(substr({digits}, 2), '0', ''), 4, '0'), 1, 4)"
@@ -64,6 +73,17 @@ r{k} AS (SELECT node, {alpha} * (coalesce(got, 0) + loose / n) + {1 - alpha} / n
     return out
 
 
+def pagerank_limit(iterations: int, alpha: float = 0.85) -> str:
+    """A common table r (k, node, value) by recursion, for many iterations. Every node has a link of no weight to itself,
+    which brings it into each step, and by which a node without links says what it has to share out."""
+    return f"""RECURSIVE {EDGES}, deg AS (SELECT src, count(*) AS o FROM e GROUP BY src),
+nodes AS (SELECT node, o FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) LEFT JOIN deg ON node = src), nn AS (SELECT count(*) AS n FROM nodes),
+w AS (SELECT src, dst, 1.0::DOUBLE / o AS w, 0.0::DOUBLE AS loose FROM e JOIN deg USING (src) UNION ALL SELECT node, node, 0, CASE WHEN o IS NULL THEN 1 ELSE 0 END FROM nodes),
+r AS (SELECT 0 AS k, node, 1.0::DOUBLE / n AS value FROM nodes, nn
+  UNION ALL SELECT k + 1, node, {alpha} * (got + sum(loose) OVER () / n) + {1 - alpha} / n
+  FROM (SELECT k, dst AS node, sum(value * w) AS got, sum(value * loose) AS loose FROM r JOIN w ON node = src WHERE k < {iterations} GROUP BY k, dst), nn)"""
+
+
 #: Frames that a rule makes of every document: the third word of each run of eight is a predicate; the last run may be shorter.
 FRAMES = f"""{DOCS}, runs AS (SELECT doc_id, CAST(k AS INTEGER) AS k, w[8 * k + 1 : 8 * k + 8] AS t FROM (SELECT doc_id, w, unnest(range((len(w) + 7) // 8)) AS k FROM d)),
 tr AS (SELECT doc_id, k, 'A0' AS m_label, t[1] || '_' || t[2] AS m_name, t[3] AS rel, n_label, CASE n_label WHEN 'A1' THEN t[4] ELSE t[5] || '_' || t[6] END AS n_name

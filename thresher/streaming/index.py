@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from thresher.functions import text as tx
-from thresher.operators.index import Index, positional_postings, tokens
+from thresher.operators.index import Index, write_batch
 
 
 def document_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -20,9 +18,7 @@ def follow(docs: DataFrame, path: str, state: str, once: bool = True) -> Streami
     try left, so each document is indexed once. state: the stream's checkpoint."""
 
     def batch(df: DataFrame, k: int) -> None:
-        lists = positional_postings(tokens(df)).withColumn("tf", F.size("positions").cast("long"))
-        lists.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings/batch={k}")
-        df.select("doc_id", F.size(tx.tokens("text")).cast("long").alias("length")).write.mode("overwrite").parquet(f"{path}/documents/batch={k}")
+        write_batch(df, path, str(k))
 
     w = docs.writeStream.foreachBatch(batch).option("checkpointLocation", state)
     return (w.trigger(availableNow=True) if once else w).start()
