@@ -1,7 +1,7 @@
 """Ranking: the vector-space model with a page's rank, cosine, BM25 over fields, rotations and wildcards.
 
 Only words of the query become rows: documents are filtered to them in the scan, so what is shuffled is at most one row
-per document and query word.
+per document and query word. Those rows are kept in the shared folder, so that texts are cut into words once.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from thresher.functions import text as tx
 
 from .index import document_count, term_frequencies, with_idf
+from .lineage import checkpoint
 
 #: What a document without a rank counts as. Fixed value.
 NO_RANK = 1e-6
@@ -30,7 +31,7 @@ def _matched(docs: DataFrame, query: str | list[str], add: str, all_terms: bool)
     """doc_id, tf, idf, qtf for query words that some document has; with all_terms only of documents that have all."""
     q = query_terms(docs.sparkSession, query, add)
     words = [r.term for r in q.collect()]  # the query itself, not data
-    tf = term_frequencies(docs, words)
+    tf = checkpoint(term_frequencies(docs, words))
     stats = with_idf(tf.groupBy("term").agg(F.count("*").alias("df")), document_count(docs))
     rows = tf.join(F.broadcast(stats.join(F.broadcast(q), "term")), "term")
     if all_terms:
@@ -74,6 +75,7 @@ def bm25_scores(docs: DataFrame, query: str | list[str], fields: dict[str, float
     wanted = F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
     base = docs.select("doc_id", *(tx.tokens(f).alias(f"w_{f}") for f in fields))
     base = base.select("doc_id", *(F.size(f"w_{f}").cast("long").alias(f"n_{f}") for f in fields), *(F.filter(f"w_{f}", lambda x: F.array_contains(wanted, x)).alias(f"w_{f}") for f in fields))
+    base = checkpoint(base)
     means = base.agg(F.count("*").alias("n"), *(F.avg(f"n_{f}").alias(f"avg_{f}") for f in fields))
     parts = [
         base.select("doc_id", F.col(f"n_{f}").alias("length"), F.explode(f"w_{f}").alias("term")).groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
