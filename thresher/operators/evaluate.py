@@ -26,13 +26,13 @@ def compare(rows: DataFrame, truth: str = "spo_list", predicted: str = "spo_list
     return rows.withColumns({"__t": t, "__p": p}).withColumns({"right": F.array_intersect("__p", "__t"), "new": F.array_except("__p", "__t"), "lack": F.array_except("__t", "__p")}).drop("__t", "__p")
 
 
-def scores(rows: DataFrame, truth: str = "spo_list", predicted: str = "spo_list_pred") -> DataFrame:
-    """One row: f1, precision, recall, over all triples of all rows."""
+def scores(rows: DataFrame, truth: str = "spo_list", predicted: str = "spo_list_pred", by: list[str] | None = None) -> DataFrame:
+    """One row: f1, precision, recall, over all triples of all rows; with by, one row for each value of its columns."""
     c = compare(rows, truth, predicted)
     x = F.lit(SEED) + F.coalesce(F.sum(F.size("right")), F.lit(0))
     y = F.lit(SEED) + F.coalesce(F.sum(F.size("right") + F.size("new")), F.lit(0))
     z = F.lit(SEED) + F.coalesce(F.sum(F.size("right") + F.size("lack")), F.lit(0))
-    return c.agg((2 * x / (y + z)).alias("f1"), (x / y).alias("precision"), (x / z).alias("recall"))
+    return c.groupBy(*by or []).agg((2 * x / (y + z)).alias("f1"), (x / y).alias("precision"), (x / z).alias("recall"))
 
 
 def decode_spans(starts: Column, ends: Column, start_over: float = START, end_over: float = END) -> Column:
