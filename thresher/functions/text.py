@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: ASCII marks that a space replaces; the backslash is not among them.
 PUNCTUATION = "[!\"#$%&'()*+,\\-./:;<=>?@\\[\\]^_`{|}~]+"
+#: The same with white space.
+BREAKS = PUNCTUATION.removesuffix("]+") + r"\s]+"
 #: Contractions that the tokenizer splits in two. Fixed values.
 CONTRACTIONS = {"cannot": "can not", "gonna": "gon na", "gotta": "got ta", "wanna": "wan na", "gimme": "gim me", "lemme": "lem me"}
 #: English function words.
@@ -38,12 +40,13 @@ def normalise(text: Text) -> Column:
 
 
 def tokens(text: Text, contractions: bool = False) -> Column:
-    """Words of a normalised text in order; a word's place in the array is its position."""
-    clean = normalise(text)
+    """Words of a normalised text in order; a word's place in the array is its position. Punctuation and white space go in
+    one pass, so that what is left to split at is one character."""
+    clean = F.lower(F.regexp_replace(_col(text), BREAKS, " "))
     if contractions:
         for whole, parts in CONTRACTIONS.items():
             clean = F.regexp_replace(clean, rf"\b{whole}\b", parts)
-    return F.coalesce(F.filter(F.split(clean, r"\s+"), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.split(clean, " "), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def raw_tokens(text: Text) -> Column:
@@ -81,8 +84,8 @@ def distinct_terms(text: Text, stop_words: list[str] | None = None) -> Column:
 
 def content_words(text: Text, shortest: int = 2, stop_words: list[str] | None = None) -> Column:
     """Words in order, without stop words and short ones."""
-    stop = F.array(*map(F.lit, STOP_WORDS if stop_words is None else stop_words))
-    return F.filter(tokens(text), lambda x: (F.char_length(x) >= shortest) & ~F.array_contains(stop, x))
+    stop = STOP_WORDS if stop_words is None else stop_words
+    return F.filter(tokens(text), lambda x: (F.char_length(x) >= shortest) & ~x.isin(stop))  # looked up in a hash set
 
 
 def positions(terms: Text, term: str) -> Column:

@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from thresher.functions import text as tx
 
-from .index import document_count, with_idf
+from .index import document_count, row_counts, with_idf
 from .lineage import checkpoint
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """doc_id, term, tf, length (of content words in the document)."""
-    words = docs.select("doc_id", tx.content_words("text").alias("w")).select("doc_id", F.size("w").alias("length"), F.explode("w").alias("term"))
-    return words.groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
+    return row_counts(docs, tx.content_words("text")).select("doc_id", "term", "length", "tf")
 
 
 def keyword_scores(docs: DataFrame, literal_n: int | None = None) -> DataFrame:
