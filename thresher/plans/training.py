@@ -3,6 +3,9 @@ the SQL that checks it."""
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,16 +95,18 @@ _DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
 
 @query("database_tables", "SELECT s_suppkey, s_name FROM supplier UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey < 10")
 def _(spark, sf):
-    # In local mode an embedded database; elsewhere thresher.jdbc.url must name a server that all executors reach.
-    url = spark.conf.get("thresher.jdbc.url", "")
+    # Without thresher.jdbc.url, a server that all executors reach, an embedded database: in local mode Spark's tasks use it;
+    # on a cluster it is the driver's, who alone can.
+    url, path = spark.conf.get("thresher.jdbc.url", ""), scratch(spark)
     options = {} if url else {"driver": _DERBY}
-    if not url:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set thresher.jdbc.url to a database that all executors reach")
-        url = f"jdbc:derby:memory:{scratch(spark).rsplit('/', 1)[1]};create=true"
+    alone = not url and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is None
+    url = url or (f"jdbc:derby:{tempfile.mkdtemp()}/db;create=true" if alone else f"jdbc:derby:memory:{path.rsplit('/', 1)[1]};create=true")
+    write = sinks.write_embedded if alone else sinks.write_jdbc
     s = spark.read.parquet(f"{sf}/supplier.parquet")
     rows, few = s.select("s_suppkey", "s_name"), s.where("s_nationkey < 10").select("s_suppkey", "s_name")
-    sinks.write_jdbc(few, url, "suppliers", "overwrite", **options)
-    sinks.write_jdbc(rows, url, "suppliers", "overwrite", **options)
-    sinks.write_jdbc(few, url, "suppliers", **options)
+    write(few, url, "suppliers", "overwrite", **options)
+    write(rows, url, "suppliers", "overwrite", **options)
+    write(few, url, "suppliers", **options)
+    if alone:
+        return files.read_embedded(spark, url, "suppliers", path, **options)
     return files.reconnecting(lambda: files.read_jdbc(spark, url, "suppliers", **options), attempts=3)
