@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from thresher.operators import keywords
+from thresher.functions import text as tx
+from thresher.operators import evaluate, index, keywords, kg
 
 
 def plan_of(df) -> str:
@@ -19,3 +20,31 @@ def test_textrank_makes_no_rows_of_pairs(spark):
     assert got == [(1, 1, "alpha"), (1, 2, "gamma")]
     many = spark.range(3).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(300_000)), lambda x: F.concat(F.lit("w"), (x % 1000).cast("string")))).alias("text"))
     assert keywords.textrank(many, 2, iterations=2).count() == 6  # groups of rows are cut by words
+
+
+def test_postings_of_rows_need_no_shuffle(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "a")], "doc_id long, text string")
+    df = index.row_postings(docs)
+    assert "Exchange" not in plan_of(df)
+    assert {(r.doc_id, r.term): r.positions for r in df.collect()} == {(1, "a"): [1], (1, "b"): [0, 2], (4, "a"): [0]}
+
+
+def test_runs_do_not_carry_all_words(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, ""), (3, None)], "doc_id long, text string").select("doc_id", tx.tokens("text").alias("w"))
+    df = docs.select("doc_id", F.posexplode(tx.runs("w", 2)).alias("k", "tokens"))
+    assert [(r.doc_id, r.k, r.tokens) for r in df.orderBy("k").collect()] == [(1, 0, ["a", "b"]), (1, 1, ["c", "d"]), (1, 2, ["e"])]
+
+
+def test_arrays_of_triples_are_worked_out_once(spark):
+    rows = spark.createDataFrame([(["a", "b", "c"], [(1, [("A0", 0, 0), ("A1", 2, 2)])]), (["d"], [])], f"tokens array<string>, frames {kg.FRAMES}")
+    df = kg.triples(rows)
+    assert "size(transform" not in plan_of(df)
+    assert [(r.m_name, r.rel, r.n_name) for r in df.collect()] == [("a", "b", "c")]
+
+
+def test_triples_are_compared_by_hashing(spark):
+    rows = spark.createDataFrame([([("A  b", "p\nq", "C"), ("x", None, "y"), ("x", "", "y")], [("a b", "p\nq", "c"), (None, None, None)])], f"spo_list {evaluate.SPO}, spo_list_pred {evaluate.SPO}")
+    r = evaluate.compare(rows).first()
+    assert [tuple(x) for x in r.right] == [("a b", "p\nq", "c")] and [tuple(x) for x in r.new] == [("", None, "")]
+    assert [tuple(x) for x in r.lack] == [("x", None, "y"), ("x", "", "y")]
+    assert dict(rows.select(evaluate.comparable(F.col("spo_list")).alias("k")).dtypes)["k"] == "array<string>"

@@ -15,20 +15,30 @@ START, END = 0.6, 0.5
 
 
 def comparable(spo: Column) -> Column:
-    """Triples as a set of structs whose subject and object are compared word by word."""
-    norm = lambda x: F.array_join(tx.raw_tokens(F.lower(x)), " ")
-    return F.array_distinct(F.transform(spo, lambda t: F.struct(norm(t["subject"]).alias("s"), t["predicate"].alias("p"), norm(t["object"]).alias("o"))))
+    """Triples as a set of strings, subject and object word by word, then the predicate unless it is null, parted by line
+    breaks, which words don't hold. Spark compares strings by hashing, structs each with each."""
+    norm = lambda x: F.coalesce(F.btrim(F.regexp_replace(F.lower(x), r"\s+", " ")), F.lit(""))
+    return F.array_distinct(F.transform(spo, lambda t: F.concat_ws("\n", norm(t["subject"]), norm(t["object"]), t["predicate"])))
 
 
-def compare(rows: DataFrame, truth: str = "spo_list", predicted: str = "spo_list_pred") -> DataFrame:
-    """rows with right (in both), new (only predicted) and lack (only true)."""
+def _compared(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     t, p = comparable(F.coalesce(F.col(truth), F.array().cast(SPO))), comparable(F.coalesce(F.col(predicted), F.array().cast(SPO)))
     return rows.withColumns({"__t": t, "__p": p}).withColumns({"right": F.array_intersect("__p", "__t"), "new": F.array_except("__p", "__t"), "lack": F.array_except("__t", "__p")}).drop("__t", "__p")
 
 
+def compare(rows: DataFrame, truth: str = "spo_list", predicted: str = "spo_list_pred") -> DataFrame:
+    """rows with right (in both), new (only predicted) and lack (only true)."""
+
+    def triple(x: Column) -> Column:
+        parts = F.split(x, "\n", 3)
+        return F.struct(F.get(parts, F.lit(0)).alias("s"), F.get(parts, F.lit(2)).alias("p"), F.get(parts, F.lit(1)).alias("o"))
+
+    return _compared(rows, truth, predicted).withColumns({c: F.transform(c, triple) for c in ("right", "new", "lack")})
+
+
 def scores(rows: DataFrame, truth: str = "spo_list", predicted: str = "spo_list_pred", by: list[str] | None = None) -> DataFrame:
     """One row: f1, precision, recall, over all triples of all rows; with by, one row for each value of its columns."""
-    c = compare(rows, truth, predicted)
+    c = _compared(rows, truth, predicted)
     x = F.lit(SEED) + F.coalesce(F.sum(F.size("right")), F.lit(0))
     y = F.lit(SEED) + F.coalesce(F.sum(F.size("right") + F.size("new")), F.lit(0))
     z = F.lit(SEED) + F.coalesce(F.sum(F.size("right") + F.size("lack")), F.lit(0))

@@ -23,8 +23,8 @@ _PREDICATES = ["A1", "A2"]
 
 
 def _runs(spark: SparkSession, sf: str) -> DataFrame:
-    w = documents(spark, sf).select("doc_id", tx.tokens("text").alias("w")).where(F.size("w") > 0)
-    t = w.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.ceil(F.size("w") / 8).cast("int") - 1)).alias("k")).select("doc_id", "k", F.slice("w", F.col("k") * 8 + 1, F.lit(8)).alias("tokens"))
+    w = documents(spark, sf).select("doc_id", tx.tokens("text").alias("w"))
+    t = w.select("doc_id", F.posexplode(tx.runs("w", 8)).alias("k", "tokens"))
     part = lambda a, n: F.slice("tokens", a, n)
     triple = lambda s, p, o: F.struct(s.alias("subject"), F.lit(p).alias("predicate"), o.alias("object"))
     both = F.array(F.when(F.size("tokens") >= 4, triple(part(1, 2), "A1", part(4, 1))), F.when(F.size("tokens") >= 6, triple(part(3, 1), "A2", part(5, 2))))
