@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from thresher.functions import text as tx
-from thresher.operators import evaluate, index, keywords, kg
+from thresher.operators import evaluate, index, keywords, kg, topics
 
 
 def plan_of(df) -> str:
@@ -48,3 +50,28 @@ def test_triples_are_compared_by_hashing(spark):
     assert [tuple(x) for x in r.right] == [("a b", "p\nq", "c")] and [tuple(x) for x in r.new] == [("", None, "")]
     assert [tuple(x) for x in r.lack] == [("x", None, "y"), ("x", "", "y")]
     assert dict(rows.select(evaluate.comparable(F.col("spo_list")).alias("k")).dtypes)["k"] == "array<string>"
+
+
+def test_topics_leave_words_off_the_driver(spark):
+    docs = spark.createDataFrame([(d, " ".join(f"w{d % 7}x{j} all{j % 3}" for j in range(6))) for d in range(40)], "doc_id long, text string").repartition(5)
+    model = topics.fit_lda(docs, k=2, iterations=1)
+    assert topics.topic_words(model, 4).count() == 8
+    assert [tuple(r) for r in topics.word_topics(model, spark.createDataFrame([("nowhere",)], "term string")).collect()] == [("nowhere", [0.0, 0.0])]
+    # Rows of a part reach the right words of a block: in one step, the weights of all topics add up to the tf-idf of the words.
+    weights = {t: sum(w) - 1 for r in topics._rows(model, lambda t, idf, w: pa.RecordBatch.from_arrays([t, topics._lists(w)], names=["t", "w"]), "t string, w array<double>").collect() for t, w in [r]}
+    df = {t: sum(t in x.text.split() for x in docs.collect()) for t in weights}
+    tf = {t: sum(x.text.split().count(t) for x in docs.collect()) for t in weights}
+    assert all(abs(w - tf[t] * np.log(41 / (df[t] + 1))) < 1e-3 for t, w in weights.items()) and len(weights) == 45
+    assert "pipeline" not in model.__dict__ and "_words" not in model.__dict__
+
+
+def test_inference_stops_where_plain_steps_do():
+    rng = np.random.default_rng(5)
+    n = rng.integers(1, 40, 50)
+    w, beta, alpha = rng.random(n.sum()) * 3, rng.dirichlet(np.ones(3), n.sum()).T, np.array([0.2, 0.3, 0.5])
+    gamma, theta, ratio = topics.infer(n, w, beta, alpha, np.ones(3))
+    ends = np.cumsum(n)
+    for d in range(50):
+        some = slice(ends[d] - n[d], ends[d])
+        assert np.allclose(ratio[some] * (theta[:, d] @ beta[:, some]), w[some])
+        assert np.abs(theta[:, d] * (beta[:, some] @ ratio[some]) + alpha - gamma[:, d]).mean() < 2 * topics.STILL
