@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+from compare import same
 from pyspark.sql import functions as F
 
 from thresher.functions import text as tx
 from thresher.operators import evaluate, index, keywords, kg, topics
+from thresher.plans import queries
 
 
 def plan_of(df) -> str:
@@ -75,3 +78,26 @@ def test_inference_stops_where_plain_steps_do():
         some = slice(ends[d] - n[d], ends[d])
         assert np.allclose(ratio[some] * (theta[:, d] @ beta[:, some]), w[some])
         assert np.abs(theta[:, d] * (beta[:, some] @ ratio[some]) + alpha - gamma[:, d]).mean() < 2 * topics.STILL
+
+
+def test_predictions_need_no_shuffle(spark, tmp_path):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    for name, ids in (("once", [1, 2, 3, 4, None]), ("again", [1, 2, 2, 4, 4])):
+        rows = list(zip(ids, [text, text[14:], "", None, "a b c d"], strict=True))
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / name / "documents.parquet"))
+    df = queries.QUERIES["spo_compare"](spark, str(tmp_path / "once"))
+    assert "Exchange" not in plan_of(df)
+    assert {tuple(r) for r in df.collect()} == {(1, 2, 0, 1), (2, 1, 1, 1), (None, 1, 0, 0)}
+    # Where an id repeats, its rows are one document.
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/again/documents.parquet/*.parquet')")
+    assert same(queries.QUERIES["spo_compare"](spark, str(tmp_path / "again")), con, queries.SQL["spo_compare"]) == ""
+
+
+def test_edges_of_runs_are_the_triples_of_their_rows(spark):
+    words = [["a", "b", "c", "d", "e"], [], ["f"], ["a", "b", "c", "d"]]
+    args = [("A0", 0, 1), ("A1", 3, 3), ("A2", 0, 4), ("ARGM-X", 0, 0), ("A0", 2, 2)]
+    row, t = kg.run_edges(pa.array(words), 5, 2, args, "+")
+    whole = [(n, w, [(2, [a for a in args if a[2] < len(w)])]) for n, w in enumerate(words) if len(w) > 2]
+    want = kg.triples(spark.createDataFrame(whole, f"nth int, tokens array<string>, frames {kg.FRAMES}"), "+").collect()
+    assert [(int(n), *x.values()) for n, x in zip(row, t.to_pylist(), strict=True)] == [tuple(r) for r in want]

@@ -29,11 +29,18 @@ def _compared(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
 def compare(rows: DataFrame, truth: str = "spo_list", predicted: str = "spo_list_pred") -> DataFrame:
     """rows with right (in both), new (only predicted) and lack (only true)."""
 
-    def triple(x: Column) -> Column:
-        parts = F.split(x, "\n", 3)
-        return F.struct(F.get(parts, F.lit(0)).alias("s"), F.get(parts, F.lit(2)).alias("p"), F.get(parts, F.lit(1)).alias("o"))
+    def triples(x: str) -> Column:
+        # Each string is taken apart once: a lambda's expressions are worked out as often as they are named.
+        part = lambda p, i: F.get(p, F.lit(i))
+        return F.transform(F.transform(x, lambda t: F.split(t, "\n", 3)), lambda p: F.struct(part(p, 0).alias("s"), part(p, 2).alias("p"), part(p, 1).alias("o")))
 
-    return _compared(rows, truth, predicted).withColumns({c: F.transform(c, triple) for c in ("right", "new", "lack")})
+    return _compared(rows, truth, predicted).withColumns({c: triples(c) for c in ("right", "new", "lack")})
+
+
+def counts(rows: DataFrame, truth: str = "spo_list", predicted: str = "spo_list_pred") -> DataFrame:
+    """rows with n_right, n_new, n_lack: how many triples compare finds, without taking them apart."""
+    c = _compared(rows, truth, predicted)
+    return c.withColumns({f"n_{x}": F.size(x).cast("long") for x in ("right", "new", "lack")}).drop("right", "new", "lack")
 
 
 def scores(rows: DataFrame, truth: str = "spo_list", predicted: str = "spo_list_pred", by: list[str] | None = None) -> DataFrame:
