@@ -8,8 +8,9 @@ import pyarrow as pa
 from compare import same
 from pyspark.sql import functions as F
 
+from thresher.functions import codecs
 from thresher.functions import text as tx
-from thresher.operators import evaluate, index, keywords, kg, topics
+from thresher.operators import evaluate, index, keywords, kg, tolerant, topics
 from thresher.plans import queries
 
 
@@ -101,3 +102,23 @@ def test_edges_of_runs_are_the_triples_of_their_rows(spark):
     whole = [(n, w, [(2, [a for a in args if a[2] < len(w)])]) for n, w in enumerate(words) if len(w) > 2]
     want = kg.triples(spark.createDataFrame(whole, f"nth int, tokens array<string>, frames {kg.FRAMES}"), "+").collect()
     assert [(int(n), *x.values()) for n, x in zip(row, t.to_pylist(), strict=True)] == [tuple(r) for r in want]
+
+
+def test_codecs_work_on_whole_batches():
+    lists = [[1, 5, 900], None, [], [0], [2**62, 2**62 + 5], [7]]
+    for some in (lists, [[]], [None], [], lists[2:]):
+        a = pa.array(some, pa.list_(pa.int64()))
+        for write, read in ((codecs.fixed_bytes, codecs.from_fixed_bytes), (codecs.variable_bytes, codecs.from_variable_bytes)):
+            data = write.func(a)
+            assert isinstance(data, pa.Array) and read.func(data).equals(a)
+            assert read.func(data.slice(1)).equals(a.slice(1)) and write.func(a.slice(1)).equals(data.slice(1))
+        assert codecs.ungap.func(pa.array([None if x is None else np.diff(x, prepend=0).astype(int).tolist() for x in some], a.type)).equals(a)
+
+
+def test_postings_and_pairs_are_made_over_many_rows_at_once(spark):
+    docs = spark.createDataFrame([(3, "b a b"), (1, "a b a b"), (2, ""), (4, None), (None, "c"), (1, "b a")], "doc_id long, text string").coalesce(1)
+    lists, pairs = index.collection_postings(docs), tolerant.biwords(docs)
+    for df in (lists, pairs):
+        assert "Generate" not in plan_of(df)
+    assert {r.term: r.docs for r in lists.collect()} == {"a": [1, 3], "b": [1, 3], "c": []}
+    assert {tuple(r) for r in pairs.collect()} == {("b", "a", 3), ("a", "b", 2)}
