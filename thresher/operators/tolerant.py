@@ -5,12 +5,17 @@ Candidates come from an equi-join on k-grams, so a word meets only words that sh
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thresher.functions import text as tx
 
 from .boolean import Node, Not, Op, Phrase, Word, leaves, parse
+from .index import AT_ONCE, gathered
 from .lineage import checkpoint
 
 
@@ -86,8 +91,23 @@ def wildcard_terms(vocab: DataFrame, pattern: str) -> DataFrame:
 
 
 def biwords(docs: DataFrame) -> DataFrame:
-    """w1, w2, n_docs: neighbouring words and how many documents hold them. Pairs are made distinct as strings (a word
-    holds no space): Spark does that by hashing, where it compares structs each with each."""
-    pairs = F.transform(tx.bigrams(tx.tokens("text")), lambda b: F.concat(b["w1"], F.lit(" "), b["w2"]))
-    counts = docs.select(F.explode(F.array_distinct(pairs)).alias("b")).groupBy("b").agg(F.count("*").alias("n_docs"))
-    return counts.select(F.substring_index("b", " ", 1).alias("w1"), F.substring_index("b", " ", -1).alias("w2"), "n_docs")
+    """w1, w2, n_docs: neighbouring words and how many documents (rows) hold them. Pairs are numbers of words, made distinct and
+    counted where they are read, over many rows at once; what is shuffled is a pair's count there."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in gathered(batches, 0, 4 * AT_ONCE):
+            words = some.column(0)
+            row, d = np.repeat(np.arange(len(words)), np.asarray(words.value_lengths(), np.int64)), words.flatten().dictionary_encode()
+            code, n = np.asarray(d.indices, np.int64), max(1, len(d.dictionary))
+            same = row[1:] == row[:-1]
+            pair, at = (code[:-1] * n + code[1:])[same], row[1:][same]
+            order = np.argsort(pair, kind="stable")  # and rows stay in order
+            pair, at = pair[order], at[order]
+            once = np.flatnonzero((np.diff(pair, prepend=-1) != 0) | (np.diff(at, prepend=-1) != 0))
+            pair = pair[once]
+            first = np.flatnonzero(np.diff(pair, prepend=-1))
+            word = lambda c: d.dictionary.take(pa.array(c))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([word(pair[first] // n), word(pair[first] % n), pa.array(np.diff(np.r_[first, len(pair)]), pa.int64())], names=["w1", "w2", "n"])
+
+    counts = docs.select(tx.tokens("text").alias("w")).mapInArrow(counted, "w1 string, w2 string, n long")
+    return counts.groupBy("w1", "w2").agg(F.sum("n").alias("n_docs"))
