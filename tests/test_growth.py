@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from thresher.functions import codecs
 from thresher.functions import text as tx
-from thresher.operators import evaluate, index, keywords, kg, tolerant, topics
+from thresher.operators import evaluate, index, keywords, kg, tolerant, topics, training
 from thresher.plans import queries
 
 
@@ -122,3 +122,21 @@ def test_postings_and_pairs_are_made_over_many_rows_at_once(spark):
         assert "Generate" not in plan_of(df)
     assert {r.term: r.docs for r in lists.collect()} == {"a": [1, 3], "b": [1, 3], "c": []}
     assert {tuple(r) for r in pairs.collect()} == {("b", "a", 3), ("a", "b", 2)}
+
+
+def test_statements_are_parsed_in_one_match(spark):
+    rows = [("A", "it's '})-[r:x]-(n:B{name:'y", "r", "B", "z"), ("A", "a", "r", "B", "u v\u0085w")]
+    found = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in kg.EDGE))
+    lines = kg.statements(found).union(spark.createDataFrame([("no statement",), (None,), ("",)], "line string"))
+    df = kg.parse_statements(lines)
+    assert "regexp_extract" not in plan_of(df) and {tuple(r) for r in df.collect()} == set(rows)
+
+
+def test_examples_are_searched_for_once(spark):
+    rows = spark.createDataFrame([("x", ["a", "b"], [(["a"], "p", ["b"])]), ("y", ["a"], [])], "id string, tokens array<string>, spo_list array<struct<subject:array<string>,predicate:string,object:array<string>>>")
+    e = training.span_examples(rows, ["p"])
+    assert plan_of(e).count("array_distinct(coalesce") == 1 and [r.id for r in e.collect()] == ["x"]
+    # Ranges are sampled from what was written, not from examples made for that.
+    made = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: (made.add(1), x)[1], "string").asNondeterministic()
+    assert training.batches(e.withColumn("id", seen("id")), 4, ["id"]).count() == 1 and made.value == 1

@@ -11,6 +11,7 @@ from thresher.functions import text as tx
 
 from .evaluate import scores
 from .index import dense_ids
+from .lineage import scratch
 
 SPAN = "struct<start:int,end:int>"
 OBJECT = "struct<start:int,end:int,predicate:int>"
@@ -41,7 +42,9 @@ def span_examples(rows: DataFrame, predicates: list[str], seed: int = 0, id_col:
     of all subjects, ascending. subject: a start and an end drawn each for itself, the end from those of subjects at or
     after the start, so that it may be no subject. objects: those of that span. A draw depends on seed and id alone; an
     epoch takes a seed of its own. No shuffle."""
-    f = found_triples(rows.select(F.col(id_col).alias("id"), "tokens", "spo_list"), predicates).where(F.size("found") > 0)
+    f = found_triples(rows.select(F.col(id_col).alias("id"), "tokens", "spo_list"), predicates)
+    # Outer, and the filter on what comes out, as else all places would be searched for a second time for it.
+    f = f.select("id", "tokens", F.explode_outer(F.filter(F.array("found"), lambda x: F.size(x) > 0)).alias("found")).where("found IS NOT NULL")
     f = f.withColumn("subjects", F.array_sort(F.array_distinct(F.transform("found", lambda x: x["subject"]))))
     name = lambda what: F.concat_ws(":", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(what))
     f = f.withColumn("s", F.get(F.transform("subjects", lambda x: x["start"]), drawn(name("start"), F.size("subjects"))))
@@ -73,7 +76,10 @@ def batches(examples: DataFrame, size: int, order: list[str | Column], pad: Colu
     than ``size`` examples. Labels past a text's own tokens are all 0, as subject_labels gives them for the padded length.
     Order must tell all rows apart; a shuffled epoch orders by a hash of id and seed."""
     fill = pad if isinstance(pad, Column) else F.lit(pad)
-    rows = examples.withColumn("example", F.struct("id", "tokens", "subjects", "subject", "objects", F.size("tokens").alias("n_tokens")))
+    # Written first, as ranges are sampled and the examples would be made once for that and once more for their batches.
+    path = scratch(examples.sparkSession)
+    examples.write.parquet(path)
+    rows = examples.sparkSession.read.schema(examples.schema).parquet(path).withColumn("example", F.struct("id", "tokens", "subjects", "subject", "objects", F.size("tokens").alias("n_tokens")))
     at = dense_ids(rows, "example", order)
     groups = at.groupBy(F.floor(F.col("id") / size).cast("long").alias("batch")).agg(F.array_sort(F.collect_list(F.struct("id", "example"))).alias("r"), F.max(F.size("example.tokens")).alias("width"))
     padded = F.transform("r", lambda x: x["example"].withField("tokens", F.concat(x["example"]["tokens"], F.array_repeat(fill, F.col("width") - F.size(x["example"]["tokens"])))))
