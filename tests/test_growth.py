@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from thresher.functions import codecs
 from thresher.functions import text as tx
-from thresher.operators import evaluate, index, keywords, kg, tolerant, topics, training
+from thresher.operators import evaluate, graph, index, keywords, kg, tolerant, topics, training
 from thresher.plans import queries
 
 
@@ -140,3 +140,30 @@ def test_examples_are_searched_for_once(spark):
     made = spark.sparkContext.accumulator(0)
     seen = F.udf(lambda x: (made.add(1), x)[1], "string").asNondeterministic()
     assert training.batches(e.withColumn("id", seen("id")), 4, ["id"]).count() == 1 and made.value == 1
+
+
+def test_ranks_of_a_crawl_take_as_many_jobs_for_all_iterations(spark):
+    # Links lead out of the crawl: pages that link are not linked, so iterations need no pass over the links.
+    links = spark.createDataFrame([(f"p{k}", f"q{k * j % 7}") for k in range(9) for j in (1, 2, 3)] + [("p0", "q0")], "src string, dst string").distinct()
+    sc, jobs = spark.sparkContext, []
+    for name, options in (("few", {"iterations": 2}), ("many", {"iterations": 60}), ("converged", {"tolerance": 1e-14})):
+        sc.setJobGroup(name, name)
+        assert abs(sum(r.value for r in graph.pagerank(links, **options).collect()) - 1) < 1e-12
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(name)))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[0] == jobs[1] == jobs[2]
+
+
+def test_ranks_of_all_kinds_of_nodes(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LINKS", 4, raising=False)  # a hub's links are in several lists
+    rows = [("h", f"x{k}") for k in range(20)] + [("h", "h"), ("x1", "h"), ("x2", "x3"), ("x3", "x2"), ("r1", "x1"), ("r1", "end"), ("r2", "x1"), ("r3", "end"), ("x1", "end"), ("h", "x5"), (None, "x9"), ("x9", None)]
+    links = [x for x in rows if None not in x]
+    nodes = sorted({x for e in links for x in e})
+    n, out = len(nodes), {u: sum(a == u for a, _ in links) for u in nodes}
+    x = dict.fromkeys(nodes, 1 / n)
+    for k in range(1, 6):
+        loose = sum(x[u] for u in nodes if not out[u])
+        x = {v: 0.15 / n + 0.85 * (loose / n + sum(x[a] / out[a] for a, b in links if b == v)) for v in nodes}
+        if k in (1, 2, 5):
+            got = {r.node: r.value for r in graph.pagerank(spark.createDataFrame(rows, "src string, dst string"), iterations=k).collect()}
+            assert got.keys() == x.keys() and max(abs(got[v] - x[v]) for v in nodes) < 1e-14
